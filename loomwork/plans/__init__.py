@@ -1 +1,3 @@
+"""Registered queries; importing the modules registers them."""
 
+from . import catalogue, code, retrieval  # noqa: F401
