@@ -2,106 +2,166 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 #: A word is a run of letters, digits and ``_``, in lower case (fixed value).
-NO_WORD = r"[^\p{L}\p{N}_]+"
+WORD = re.compile(r"\w+")
 #: Copies of one text up to which all their pairs are given; beyond that a star.
 STAR_FROM = 64
+#: Buckets of the frequency sketch that sets the token orders; its size is the
+#: only thing every task gets.
+SKETCH = 1 << 18
+#: Hashes of words kept by a task.
+_CACHED = 500_000
 
 
 def word_bags(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """_id, _words (array of words in text order) of the texts with enough words; one text per id."""
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text")
-    )
-    one = rows.groupBy("_id").agg(F.max("_text").alias("_text"))
-    words = F.filter(F.split(F.lower("_text"), NO_WORD), lambda w: w != "")
-    return one.select("_id", words.alias("_words")).where(F.size("_words") >= min_words)
+    """_id, _key (stands for the multiset of words), _toks of the texts with enough words.
+
+    A word occurring n times is n tokens, 64-bit hashes of (word, 1..n).
+    """
+    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple[str, int], int] = {}
+
+        def token(word: str, k: int) -> int:
+            t = known.get((word, k))
+            if t is None:
+                if len(known) > _CACHED:
+                    known.clear()
+                t = int.from_bytes(hashlib.blake2b(f"{word} {k}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                known[word, k] = t
+            return t
+
+        for batch in batches:
+            keep, keys, bags = [], [], []
+            for r, text in enumerate(batch.column("_text").to_pylist()):
+                words = WORD.findall(text.lower())
+                if len(words) < min_words:
+                    continue
+                toks = np.array([token(w, k) for w, n in Counter(words).items() for k in range(1, n + 1)], dtype=np.int64)
+                toks.sort()
+                keep.append(r)
+                keys.append(hashlib.blake2b(toks.tobytes(), digest_size=16).hexdigest())
+                bags.append(toks)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id").take(pa.array(keep, pa.int32())), pa.array(keys, pa.string()), pa.array(bags, pa.list_(pa.int64()))], names=["_id", "_key", "_toks"]
+            )
+
+    return rows.mapInArrow(run, "_id bigint, _key string, _toks array<bigint>")
 
 
 def classes(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts with the same words as often as each other: ``(members, reps)``.
 
-    ``members``: _id, _rep, the smallest id of the class.  ``reps``: _rep,
-    _words, _size (of the class).
+    ``members``: _id, _rep (the smallest id of the class), _size.  ``reps``:
+    _rep, _toks.
     """
-    key = F.xxhash64(F.lit(3), F.array_sort("_words"))
-    keyed = bags.select("_id", F.concat(F.hex(key), F.hex(F.xxhash64(F.array_sort("_words")))).alias("_key"), "_words")
-    keyed = cut(keyed)
-    firsts = keyed.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_size"))
-    members = keyed.select("_id", "_key").join(firsts, "_key").select("_id", "_rep", "_size")
-    reps = keyed.join(firsts, (keyed["_id"] == firsts["_rep"]) & (keyed["_key"] == firsts["_key"])).select("_rep", "_words", "_size")
+    ids = cut(bags.groupBy("_id").agg(F.min("_key").alias("_key")))
+    firsts = ids.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_size"))
+    members = ids.join(firsts, "_key").select("_id", "_rep", "_size")
+    reps = bags.groupBy("_key").agg(F.first("_toks").alias("_toks")).join(firsts, "_key").select("_rep", "_toks")
     return members, reps
 
 
-def _need(size: Column, t: float) -> Column:
-    return F.ceil(size * t - 1e-9).cast("int")
+def frequency_sketch(reps: DataFrame) -> np.ndarray:
+    """Tokens per bucket over all classes: a fixed number of sums, each task adding up its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SKETCH, dtype=np.int64)
+        for batch in batches:
+            sums += np.bincount(batch.column("_toks").flatten().to_numpy(zero_copy_only=False) & (SKETCH - 1), minlength=SKETCH)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["b", "n"])
+
+    out = np.zeros(SKETCH, dtype=np.int64)
+    found = reps.select("_toks").mapInArrow(run, "b int, n bigint").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("b").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def with_orders(reps: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
+    """Adds the size, the prefixes under both orders and the parity bitmaps to each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, first, second, alone, bits = [], [], [], [], []
+            for toks in batch.column("_toks"):
+                x = toks.values.to_numpy()
+                n = len(x)
+                lean = n - int(np.ceil(n * t - 1e-9)) + 1
+                df, side = sketch[x & (SKETCH - 1)], (x >> 40) & 1
+                o1 = np.lexsort((x, df, side))[:lean]
+                o2 = np.lexsort((x, df, 1 - side))[:lean]
+                sizes.append(n)
+                first.append(x[o1])
+                alone.append(df[o1] == 1)
+                second.append(x[o2])
+                parity = np.bincount((x >> 8) & 255, minlength=256) & 1
+                bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+            b = np.array(bits, dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_rep"), batch.column("_toks"), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())),
+                 pa.array(alone, pa.list_(pa.bool_())), pa.array(second, pa.list_(pa.int64())), *[pa.array(b[:, q]) for q in range(4)]],
+                names=["_rep", "_toks", "_s", "_p1", "_alone", "_o2", "_b0", "_b1", "_b2", "_b3"],
+            )
+
+    return reps.mapInArrow(
+        run, "_rep bigint, _toks array<bigint>, _s int, _p1 array<bigint>, _alone array<boolean>, _o2 array<bigint>, _b0 bigint, _b1 bigint, _b2 bigint, _b3 bigint"
+    )
 
 
 def similar_classes(reps: DataFrame, t: float) -> DataFrame:
     """Pairs of classes whose multisets of words have a Jaccard of at least ``t``: _a < _b, similarity.
 
-    A word occurring n times counts as n different tokens (word, 1..n).  Two
-    global orders, both by rising document frequency inside their halves: the
-    first puts the tokens of one half of a hashed vocabulary before those of the
-    other, the second the other way round.  A pair can only reach ``t`` if its
-    prefixes of |x| - ceil(t |x|) + 1 tokens meet under each order; the first
-    order's prefix is the join key, with length and position bounds, and the
-    second's is intersected before the tokens are compared.  Parity bitmaps of
-    256 bits, a lower bound of the tokens that differ, are checked between the
-    two.  All bounds are exact: no pair is lost.
+    Two global orders of the tokens, both by rising frequency (of a sketch;
+    any fixed order is right, a good one is fast) inside their halves: the
+    first puts the tokens of one half of a hashed vocabulary before those of
+    the other, the second the other way round.  A pair can only reach ``t`` if
+    its prefixes of |x| - ceil(t |x|) + 1 tokens meet under each order.  The
+    first order's prefix is the join key, with bounds of length and position and
+    parity bitmaps of 256 bits, a lower bound of the tokens that differ; the
+    pairs left must meet under the second order too before their tokens are
+    compared.  All bounds are exact: no pair is lost.  A token in a single text
+    is no key.
     """
-    words = reps.select("_rep", F.explode("_words").alias("_w"))
-    occurrence = words.groupBy("_rep", "_w").agg(F.count("*").cast("int").alias("_n"))
-    token = F.xxhash64("_w", "_k")
-    tokens = occurrence.select("_rep", "_w", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).select("_rep", token.alias("_t"))
-    tokens = cut(tokens)
-    df = tokens.groupBy("_t").agg(F.count("*").alias("_df"))
-    ranked = tokens.join(df, "_t")
-    side = F.col("_t").bitwiseAND(F.lit(1 << 40)) != 0
-    quarter = F.shiftrightunsigned("_t", 6).bitwiseAND(F.lit(3))
-    bit = F.expr("shiftleft(1L, cast(_t & 63 as int))")
-    bits = [F.expr(f"bit_xor(if(_q = {q}, _bit, 0L))").alias(f"_b{q}") for q in range(4)]
-    per = (
-        ranked.select("_rep", "_t", "_df", side.alias("_side"), quarter.alias("_q"), bit.alias("_bit"))
-        .groupBy("_rep")
-        .agg(
-            F.count("*").cast("int").alias("_s"),
-            F.array_sort(F.collect_list(F.struct("_side", "_df", "_t"))).alias("_o1"),
-            *bits,
-        )
+    reps = cut(reps)
+    ordered = with_orders(reps, frequency_sketch(reps), t)
+    posts = (
+        ordered.select("_rep", "_s", "_b0", "_b1", "_b2", "_b3", F.posexplode(F.arrays_zip("_p1", "_alone")).alias("_pos", "_x"))
+        .where(~F.col("_x._alone"))
+        .select(F.col("_x._p1").alias("_t"), F.col("_pos").cast("int"), "_rep", "_s", "_b0", "_b1", "_b2", "_b3")
     )
-    lean = F.col("_s") - _need(F.col("_s"), t) + 1
-    second = F.concat(F.filter("_o1", lambda x: x["_side"]), F.filter("_o1", lambda x: ~x["_side"]))
-    second = F.transform(F.slice(second, 1, lean), lambda x: x["_t"])
-    per = per.select(
-        "_rep", "_s", "_b0", "_b1", "_b2", "_b3", second.alias("_o2"), F.array_sort(F.transform("_o1", lambda x: x["_t"])).alias("_set"),
-        F.slice("_o1", 1, lean).alias("_p1"),
-    )
-    per = cut(per)
-    posts = per.select("_rep", "_s", "_b0", "_b1", "_b2", "_b3", "_o2", F.posexplode("_p1").alias("_pos", "_x")).where(F.col("_x._df") > 1)
-    posts = posts.select(F.col("_x._t").alias("_t"), "_pos", "_rep", "_s", "_b0", "_b1", "_b2", "_b3", "_o2")
     a, b = posts.alias("a"), posts.alias("b")
     shared = F.ceil((F.col("a._s") + F.col("b._s")) * (t / (1 + t)) - 1e-9)
     rest = F.least(F.col("a._s") - F.col("a._pos"), F.col("b._s") - F.col("b._pos"))
-    differ = sum((F.bit_count(F.col(f"a._b{q}").bitwiseXOR(F.col(f"b._b{q}"))) for q in range(4)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"a._b{q}").bitwiseXOR(F.col(f"b._b{q}"))) for q in range(1, 4)), F.bit_count(F.col("a._b0").bitwiseXOR(F.col("b._b0"))))
     close = (
         (F.col("a._rep") < F.col("b._rep"))
         & (F.least("a._s", "b._s") >= F.ceil(F.greatest("a._s", "b._s") * t - 1e-9))
         & (rest + F.least("a._pos", "b._pos") >= shared)
         & (differ <= F.col("a._s") + F.col("b._s") - 2 * shared)
-        & F.arrays_overlap("a._o2", "b._o2")
     )
     pairs = a.join(b, (F.col("a._t") == F.col("b._t")) & close).select(F.col("a._rep").alias("_a"), F.col("b._rep").alias("_b")).distinct()
-    left = per.select(F.col("_rep").alias("_a"), F.col("_set").alias("_sa"))
-    right = per.select(F.col("_rep").alias("_b"), F.col("_set").alias("_sb"))
-    both = pairs.join(left, "_a").join(right, "_b")
+    pairs = cut(pairs)
+    asked = pairs.select(F.explode(F.array("_a", "_b")).alias("_rep")).distinct()
+    sets = ordered.select("_rep", "_toks", "_o2").join(asked, "_rep", "left_semi")
+    left = sets.select(F.col("_rep").alias("_a"), F.col("_toks").alias("_sa"), F.col("_o2").alias("_oa"))
+    right = sets.select(F.col("_rep").alias("_b"), F.col("_toks").alias("_sb"), F.col("_o2").alias("_ob"))
+    both = pairs.join(left, "_a").join(right, "_b").where(F.arrays_overlap("_oa", "_ob"))
     common = F.size(F.array_intersect("_sa", "_sb"))
-    either = F.size("_sa") + F.size("_sb") - F.col("_common")
+    either: Column = F.size("_sa") + F.size("_sb") - F.col("_common")
     return (
         both.withColumn("_common", common)
         .where(F.col("_common") >= F.lit(t - 1e-12) * either)
@@ -120,7 +180,7 @@ def near_duplicates(
     of the one class with each of the other.
 
     Defined cases: null ids, null texts and texts of fewer than ``min_words``
-    words take no part; repeated ids count once, with the greatest text; order
+    words take no part; repeated ids count once, with the text of the least key; order
     and white space do not matter; two texts exactly at ``t`` are a pair; very
     long texts are compared whole; other columns are ignored; an empty table
     gives empty results.
