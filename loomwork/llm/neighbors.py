@@ -97,14 +97,38 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
-    """One usable vector per id: _id, _key (128 bits that stand for the vector), _raw."""
+    """Usable vectors: _id, _key (128 bits that stand for the vector), _raw."""
     v = F.col(vec_col).cast("array<float>")
     rows = df.where(F.col(id_col).isNotNull() & (F.size(v) == dim)).select(F.col(id_col).cast("bigint").alias("_id"), v.alias("_raw"))
     finite = F.forall("_raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(finite & F.exists("_raw", lambda x: x != 0))
-    one = rows.groupBy("_id").agg(F.min("_raw").alias("_raw"))
     key = F.concat(F.hex(F.xxhash64("_raw")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), F.col("_raw"))))
-    return one.select("_id", key.alias("_key"), "_raw")
+    return rows.select("_id", key.alias("_key"), "_raw")
+
+
+def _best(q: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exact similarities and ids of the m best entries for each row of q, ties by id."""
+    eid, ex, ef = entries
+    more = min(m + 8, len(eid))
+    rough = q.astype(np.float32) @ ef
+    top = np.argpartition(-rough, more - 1, axis=1)[:, :more]
+    lowest = np.take_along_axis(rough, top, 1).min(1)
+    exact = np.round(np.einsum("qd,qmd->qm", q, ex[top]), 12)
+    ids = eid[top]
+    order = np.lexsort((ids, -exact), axis=1)[:, :m]
+    sims, ids = np.take_along_axis(exact, order, 1), np.take_along_axis(ids, order, 1)
+    if more < len(eid):  # where single precision can't tell the last ones apart, all of them are looked at
+        for r in np.flatnonzero(sims[:, -1] - lowest < 1e-5):
+            near = np.flatnonzero(rough[r] >= lowest[r] - 1e-5)
+            s = np.round(ex[near] @ q[r], 12)
+            o = np.lexsort((eid[near], -s))[:m]
+            sims[r], ids[r] = s[o], eid[near][o]
+    return sims, ids
+
+
+def _pairs(sims: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(-sims), pa.array(ids)], names=["d", "r"]))
 
 
 def nearest(
@@ -113,7 +137,7 @@ def nearest(
     vec_col: str = "embedding",
     dim: int = 64,
     k: int = 10,
-    candidates: int = 1_000,
+    candidates: int = 1_600,
     codes: int | None = None,
     queries: DataFrame | None = None,
     seed: int = 1,
@@ -125,34 +149,38 @@ def nearest(
     indexed under its pair of codes.  A query walks the pairs by summed distance
     with a heap until it has met ``candidates`` distinct vectors; the entries of
     every block it met are reranked by exact cosine in double precision.  With
-    ``codes`` unset each half has about sqrt(rows / 12) codes, so that cells keep
+    ``codes`` unset each half has about sqrt(rows / 90) codes, so that cells keep
     their size as the data grows.  With as many candidates as rows the result is
     exact.
 
     Identical vectors are one entry with the k + 1 smallest ids that hold it, as
-    more can never be among anyone's nearest; all ids that hold it ask.  Entries
-    and queries are sorted by block: a task holds one block, of at most
-    ``BLOCK_ROWS`` entries, and streams the queries past it.
+    more can never be among anyone's nearest; all ids that hold it ask.  First
+    each vector is compared with its own block, which moves only the entries
+    and gives a bound; then it goes to the other blocks it met, and only what
+    is not below the bound comes back.  Rows are sorted by block: a task holds one
+    block, of at most ``BLOCK_ROWS`` entries, and streams the queries past it.
 
     ``queries`` (ids in its first column) limits who asks, never who is found.
 
     Defined cases: null vectors, vectors of another width, with null, NaN or
     infinite entries, or all zero, take no part; repeated ids count once, with
-    the least vector; identical vectors have similarity 1; similarities are
+    the vector of the least key; identical vectors have similarity 1; similarities are
     rounded to 12 decimals and ties go to the smaller id; fewer than k others
     give fewer rows; an empty table gives an empty result; other columns are
     ignored.
     """
     spark = df.sparkSession
     half = dim // 2
-    rows = cut(valid_vectors(df, id_col, vec_col, dim))
+    keyed = valid_vectors(df, id_col, vec_col, dim)
+    rows = cut(keyed.groupBy("_id").agg(F.min("_key").alias("_key")))
     smallest = W.partitionBy("_key").orderBy("_id")
-    vectors = cut(
+    holders = (
         rows.withColumn("_n", F.row_number().over(smallest))
         .where(F.col("_n") <= k + 1)
         .groupBy("_key")
-        .agg(F.min("_id").alias("_rep"), F.array_sort(F.collect_list("_id")).alias("_ids"), F.first("_raw").alias("_raw"))
+        .agg(F.min("_id").alias("_rep"), F.array_sort(F.collect_list("_id")).alias("_ids"))
     )
+    vectors = cut(keyed.groupBy("_key").agg(F.first("_raw").alias("_raw")).join(holders, "_key"))
     total = vectors.count()
     if not total:
         return spark.createDataFrame([], "query bigint, neighbor bigint, similarity double, rank int")
@@ -160,70 +188,95 @@ def nearest(
     share = min(1.0, 1.2 * SAMPLE_ROWS / total)
     sample = vectors.where(mark <= int(share * (1 << 20))).select("_raw").limit(SAMPLE_ROWS).toArrow()
     points = _unit(_matrix(sample.column("_raw").combine_chunks(), dim))
-    size = codes or min(MOST_CODES, max(4, math.ceil(math.sqrt(total / 12))))
+    size = codes or min(MOST_CODES, max(4, math.ceil(math.sqrt(total / 90))))
     books = (_kmeans(points[:, :half], size, seed=seed), _kmeans(points[:, half:], size, seed=seed + 1))
     n1, n2 = len(books[0]), len(books[1])
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def codes_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _half_distances(x[:, :half], books[0]).argmin(1), _half_distances(x[:, half:], books[1]).argmin(1)
+
+    def count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(n1 * n2, dtype=np.int64)
         for batch in batches:
             if batch.num_rows:
-                x = _unit(_matrix(batch.column("_raw"), dim))
-                c1 = _half_distances(x[:, :half], books[0]).argmin(1).astype(np.int32)
-                c2 = _half_distances(x[:, half:], books[1]).argmin(1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_rep"), batch.column("_raw"), pa.array(c1), pa.array(c2)], names=["_rep", "_raw", "_c1", "_c2"]
-                )
-
-    index = cut(vectors.select("_rep", "_raw").mapInArrow(assign, "_rep bigint, _raw array<float>, _c1 int, _c2 int"))
-    counts = np.zeros((n1, n2), dtype=np.int64)
-    for r in index.groupBy("_c1", "_c2").agg(F.count("*").alias("n")).collect():  # at most MOST_CODES squared rows
-        counts[r["_c1"], r["_c2"]] = r["n"]
+                c1, c2 = codes_of(_unit(_matrix(batch.column("_raw"), dim)))
+                sums += np.bincount(c1 * n2 + c2, minlength=n1 * n2)
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["c", "n"])
+
+    cells = vectors.select("_raw").mapInArrow(count_cells, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(n1 * n2, dtype=np.int64)  # at most MOST_CODES squared
+    counts[cells.column("c").to_numpy()] = cells.column("n").to_numpy()
+    counts = counts.reshape(n1, n2)
     first, width = lay_blocks(counts)
     blocks = int((first + width).max())
-    names = ["_block", "_asks", "_rep", "_raw"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Entries with the block they lie in."""
         for batch in batches:
-            c1, c2 = (batch.column(c).to_numpy() for c in ("_c1", "_c2"))
-            rep = batch.column("_rep").to_numpy()
-            block = first[c1, c2] + (rep * 2654435761 >> 7) % width[c1, c2]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block), pa.array(np.zeros(len(rep), bool)), batch.column("_rep"), batch.column("_raw")], names=names
-            )
+            if batch.num_rows:
+                c1, c2 = codes_of(_unit(_matrix(batch.column("_raw"), dim)))
+                block = first[c1, c2] + (batch.column("_rep").to_numpy() * 2654435761 >> 7) % width[c1, c2]
+                yield pa.RecordBatch.from_arrays([pa.array(block), batch.column("_rep"), batch.column("_raw")], names=["_block", "_rep", "_raw"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block: each entry with the best of its own block."""
+
+        def flush(block: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reps = np.concatenate([p.column("_rep").to_numpy() for p in parts])
+            raw = pa.concat_arrays([p.column("_raw") for p in parts])
+            x = _unit(_matrix(raw, dim))
+            held = reps, x, np.ascontiguousarray(x.T.astype(np.float32))
+            m = min(k + 1, len(reps))
+            for a in range(0, len(x), 512):
+                sims, ids = _best(x[a : a + 512], held, m)
+                n = len(sims)
+                bound = sims[:, -1] if m == k + 1 else np.full(n, -2.0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(reps[a : a + n]), raw.slice(a, n), pa.array(np.full(n, block)), pa.array(bound), _pairs(sims.ravel(), ids.ravel(), np.full(n, m))],
+                    names=["_rep", "_raw", "_block", "_bound", "_best"],
+                )
+
+        block, parts = None, []
+        for batch in batches:
+            at = batch.column("_block").to_numpy()
+            ends = np.flatnonzero(at[1:] != at[:-1]) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(at)]):
+                if hi <= lo:
+                    continue
+                if at[lo] != block and parts:
+                    yield from flush(block, parts)
+                    parts = []
+                block = at[lo]
+                parts.append(batch.slice(lo, hi - lo))
+        if parts:
+            yield from flush(block, parts)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per query and block it has to see."""
+        """One row per query and other block it has to see."""
         for batch in batches:
             for lo in range(0, batch.num_rows, 1_000):
                 part = batch.slice(lo, 1_000)
                 x = _unit(_matrix(part.column("_raw"), dim))
+                mine = part.column("_block").to_numpy()
                 d1, d2 = _half_distances(x[:, :half], books[0]), _half_distances(x[:, half:], books[1])
                 take, block = [], []
                 for r in range(len(x)):
                     met = {b for i, j in multi_sequence(d1[r], d2[r], counts, candidates) for b in range(first[i, j], first[i, j] + width[i, j])}
+                    met.discard(mine[r])
                     take += [r] * len(met)
                     block += sorted(met)
                 take = pa.array(take, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block, pa.int64()), pa.array(np.ones(len(block), bool)), part.column("_rep").take(take), part.column("_raw").take(take)],
-                    names=names,
-                )
-
-    schema = "_block bigint, _asks boolean, _rep bigint, _raw array<float>"
-    asking = index
-    if queries is not None:
-        ids = queries.select(F.col(queries.columns[0]).cast("bigint").alias("_id")).distinct()
-        rows = rows.join(ids, "_id", "left_semi")
-        asking = index.join(vectors.join(rows.select("_key").distinct(), "_key", "left_semi").select("_rep"), "_rep", "left_semi")
-    entries = index.mapInArrow(place, schema)
-    asked = asking.select("_rep", "_raw").mapInArrow(route, schema)
+                    [pa.array(block, pa.int64()), *[part.column(c).take(take) for c in ("_rep", "_raw", "_bound")]], names=["_block", "_rep", "_raw", "_bound"]
+                )
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by block, entries before queries: the k + 1 best entries of the block for each query."""
+        """Rows sorted by block, entries (without a bound) before queries: what reaches the query's bound."""
         block, parts, held = None, [], None
         for batch in batches:
-            at, asks = batch.column("_block").to_numpy(), batch.column("_asks").to_numpy(zero_copy_only=False)
+            at, bound = batch.column("_block").to_numpy(), batch.column("_bound").to_numpy(zero_copy_only=False)
+            asks = ~np.isnan(bound)
             ends = np.flatnonzero((at[1:] != at[:-1]) | (asks[1:] != asks[:-1])) + 1
             for lo, hi in zip([0, *ends], [*ends, len(at)]):
                 if hi <= lo:
@@ -236,45 +289,36 @@ def nearest(
                     parts.append((reps, x))
                     continue
                 if held is None:
-                    if not parts:
-                        continue
                     eid, ex = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                     held = eid, ex, np.ascontiguousarray(ex.T.astype(np.float32))
-                eid, ex, ef = held
-                m, more = min(k + 1, len(eid)), min(k + 9, len(eid))
+                m = min(k + 1, len(held[0]))
                 for a in range(0, len(x), 512):
-                    q = x[a : a + 512]
-                    rough = q.astype(np.float32) @ ef
-                    top = np.argpartition(-rough, more - 1, axis=1)[:, :more]
-                    lowest = np.take_along_axis(rough, top, 1).min(1)
-                    exact = np.round(np.einsum("qd,qmd->qm", q, ex[top]), 12)
-                    best = [None] * len(q)
-                    # beyond this the rough values can't tell, as many entries tie: all of them are looked at
-                    tight = np.partition(exact, exact.shape[1] - m, axis=1)[:, exact.shape[1] - m] - lowest < 1e-5
-                    for r in np.flatnonzero(tight) if more < len(eid) else ():
-                        near = np.flatnonzero(rough[r] >= lowest[r] - 1e-5)
-                        s = np.round(ex[near] @ q[r], 12)
-                        order = np.lexsort((eid[near], -s))[:m]
-                        best[r] = (s[order], eid[near][order])
-                    ids_top = eid[top]
-                    order = np.lexsort((ids_top, -exact), axis=1)[:, :m]
-                    s_all, i_all = np.take_along_axis(exact, order, 1), np.take_along_axis(ids_top, order, 1)
-                    for r in [r for r, b in enumerate(best) if b is not None]:
-                        s_all[r], i_all[r] = best[r]
-                    offsets = pa.array(np.arange(0, len(q) * m + 1, m, dtype=np.int32))
-                    pairs = pa.StructArray.from_arrays([pa.array(-s_all.ravel()), pa.array(i_all.ravel())], names=["d", "r"])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(reps[a : a + 512]), pa.ListArray.from_arrays(offsets, pairs)], names=["_rep", "_best"]
-                    )
+                    sims, ids = _best(x[a : a + 512], held, m)
+                    ok = sims >= bound[lo + a : lo + a + len(sims), None]
+                    some = ok.any(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[a : a + len(sims)][some]), _pairs(sims[ok], ids[ok], ok.sum(1)[some])], names=["_rep", "_best"])
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(blocks, 2_000))
+    entries = vectors.select("_rep", "_raw").mapInArrow(place, "_block bigint, _rep bigint, _raw array<float>")
+    near_by = (
+        entries.repartition(parts, "_block")
+        .sortWithinPartitions("_block")
+        .mapInArrow(own, "_rep bigint, _raw array<float>, _block bigint, _bound double, _best array<struct<d:double,r:bigint>>")
+    )
+    if queries is not None:
+        ids = queries.select(F.col(queries.columns[0]).cast("bigint").alias("_id")).distinct()
+        rows = rows.join(ids, "_id", "left_semi")
+        near_by = near_by.join(vectors.join(rows.select("_key").distinct(), "_key", "left_semi").select("_rep"), "_rep", "left_semi")
+    asked = near_by.select("_rep", "_raw", "_block", "_bound").mapInArrow(route, "_block bigint, _rep bigint, _raw array<float>, _bound double")
     found = (
-        entries.unionByName(asked)
+        entries.withColumn("_bound", F.lit(None).cast("double"))
+        .unionByName(asked)
         .repartition(parts, "_block")
-        .sortWithinPartitions("_block", "_asks")
+        .sortWithinPartitions("_block", F.asc_nulls_first("_bound"))
         .mapInArrow(rerank, "_rep bigint, _best array<struct<d:double,r:bigint>>")
     )
-    best = found.groupBy("_rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k + 1).alias("_best"))
+    both = near_by.select("_rep", "_best").unionByName(found)
+    best = both.groupBy("_rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k + 1).alias("_best"))
     members = vectors.select(F.col("_rep").alias("_other"), F.col("_ids").alias("_oids"))
     near = (
         best.select("_rep", F.explode("_best").alias("_b"))
@@ -283,13 +327,10 @@ def nearest(
         .groupBy("_rep")
         .agg(F.flatten(F.collect_list(F.transform("_oids", lambda i: F.struct(F.col("_d").alias("d"), i.alias("i"))))).alias("_near"))
     )
-    asks = rows.select("_id", "_key").join(vectors.select("_key", "_rep"), "_key").join(near, "_rep")
+    asks = rows.join(vectors.select("_key", "_rep"), "_key").join(near, "_rep")
     mine = F.slice(F.array_sort(F.filter("_near", lambda n: n["i"] != F.col("_id"))), 1, k)
-    return (
-        asks.select("_id", F.posexplode(mine).alias("_p", "_n"))
-        .select(
-            F.col("_id").alias("query"), F.col("_n.i").alias("neighbor"), (-F.col("_n.d")).alias("similarity"), (F.col("_p") + 1).alias("rank")
-        )
+    return asks.select("_id", F.posexplode(mine).alias("_p", "_n")).select(
+        F.col("_id").alias("query"), F.col("_n.i").alias("neighbor"), (-F.col("_n.d")).alias("similarity"), (F.col("_p") + 1).alias("rank")
     )
 
 
