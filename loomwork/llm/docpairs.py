@@ -155,9 +155,11 @@ def find_functions(content: str, lang: str) -> list[dict]:
             continue
         for k, pattern in enumerate(_DEFINITIONS[lang]):
             m = pattern.match(line)
-            if not m or m["name"] in _CONTROL:
+            if not m:
                 continue
             if lang == "js" and k == 2:
+                if m["name"] in _CONTROL:
+                    continue
                 # a method, not a call: a body must open behind the brackets
                 if not line.rstrip().endswith("{") and not re.search(r"\)\s*(?::[^{;]*)?\{", " ".join(lines[i : i + 12])[len(m[0]) - 1 :].split(";")[0]):
                     continue

@@ -29,8 +29,12 @@ def load_encoding(folder: str = TOKENIZER_DIR, name: str = VOCABULARY):
 
 
 def _pretoken_ends(pattern, text: str, lo: int, hi: int) -> list[int]:
-    """Ends of the pre-tokens that end in [lo, hi], scanning ``text`` from its start."""
-    return [e for e in (m.end() for m in pattern.finditer(text)) if lo <= e <= hi]
+    """Ends in [lo, hi] of pre-tokens that do not end in white space, scanning from the start.
+
+    How a run of white space falls apart depends on what follows it, so a piece
+    must not end with one.
+    """
+    return [e for e in (m.end() for m in pattern.finditer(text)) if lo <= e <= hi and not text[e - 1].isspace()]
 
 
 def chunk_bounds(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -38,21 +42,6 @@ def chunk_bounds(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + size + overlap)) for a in range(0, n, size)]
 
 
-def stitch_points(tails: list[list[int]], heads: list[list[int]]) -> list[int]:
-    """For consecutive chunks the first boundary both scans found in their overlap.
-
-    Matching a pre-token depends only on what follows its start, so from a
-    common boundary on both scans agree.  No common boundary: no cut, the two
-    chunks are encoded as one piece.
-    """
-    cuts = []
-    for tail, head in zip(tails, heads):
-        both = set(tail) & set(head)
-        if both:
-            cuts.append(min(both))
-    return cuts
-
-
 def encode_corpus(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -76,6 +65,8 @@ def encode_corpus(
     ordinary text; a lone surrogate cannot occur in Spark strings; clashing
     extra columns are ignored; an empty table gives an empty result.
     """
+    if not 0 < overlap_chars <= chunk_chars:
+        raise ValueError("the overlap must be positive and no larger than a chunk")
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     n = F.length("_text")
@@ -133,9 +124,8 @@ def long_text_pieces(long: DataFrame, folder: str, name: str, chunk_chars: int,
             heads, tails = [], []
             for at, chunk, end in zip(batch["_at"], batch["_chunk"], batch["_end"]):
                 heads.append([int(at) + e for e in _pretoken_ends(pattern, chunk, 1, overlap_chars)])
-                # a pre-token that ends with the chunk, or white space near it, may go on in the next one
-                stop = len(chunk.rstrip()) - 1
-                stop = len(chunk[:stop].rstrip()) if not end else 0
+                # a pre-token near the end of the chunk may go on in the next one
+                stop = 0 if end else len(chunk.rstrip()) - 4
                 tails.append([] if end else [int(at) + e for e in _pretoken_ends(pattern, chunk, chunk_chars + 1, stop)])
             yield pd.DataFrame({"_row": batch["_row"], "_no": batch["_no"], "_head": heads, "_tail": tails})
 
@@ -148,9 +138,12 @@ def long_text_pieces(long: DataFrame, folder: str, name: str, chunk_chars: int,
     both = marks.select("_row", (F.col("_no") + 1).alias("_no"), "_tail").join(
         marks.select("_row", "_no", "_head"), ["_row", "_no"]
     )
-    cuts = both.groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.array_min(F.array_intersect("_tail", "_head")))).alias("_cuts")
-    )
+    # Matching a pre-token depends only on what follows its start, so from a common boundary on two scans
+    # agree.  A chunk is trusted if the one before it is and both share a boundary: the cuts up to the first
+    # gap count, and what lies behind it is one piece.
+    met = both.select("_row", "_no", F.array_min(F.array_intersect("_tail", "_head")).alias("_at")).where("_at is not null")
+    cuts = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_no", "_at"))).alias("_c"))
+    cuts = cuts.select("_row", F.expr("transform(filter(_c, (x, i) -> x._no = i + 1), x -> x._at)").alias("_cuts"))
     joined = keyed.join(cuts, "_row", "left")
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
