@@ -16,7 +16,7 @@ def manifest_packages(files: DataFrame, name_col: str, text_col: str, keep: list
     deps = lambda key: F.map_keys(F.from_json(F.get_json_object(text_col, f"$.{key}"), "map<string,string>"))
     none = F.array().cast("array<string>")
     npm = F.array_union(F.coalesce(deps("dependencies"), none), F.coalesce(deps("devDependencies"), none))
-    lines = F.transform(F.split(text_col, r"\r?\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(text_col, r"\r?\n"), lambda x: F.trim(x, F.lit(" \t")))
     go = F.transform(F.filter(lines, lambda x: F.size(F.split(x, r"\s+")) >= 2), lambda x: F.split(x, r"\s+")[0])
     pip = F.filter(F.transform(lines, lambda x: F.trim(F.split(x, "==")[0])), lambda x: (x != "") & ~x.startswith("#"))
     found = F.when(name == "package.json", npm).when(name == "go.mod", go).when(name == "requirements.txt", pip)
