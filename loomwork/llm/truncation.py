@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -10,84 +14,94 @@ from ..session import cut
 #: Characters that count as blank at the ends of a text (fixed values).
 BLANKS = " \t\r\n\f\v\u00a0\u200b\u2028\u2029\u3000\ufeff"
 #: Marks that only a machine puts after a cut (fixed values, as patterns).
-CUT_MARK = r"\s*(\[(more|\.\.\.|…|truncated|cut|snip)\]|\((more|truncated)\)|<truncated>|\[\+\d+ chars\])\s*$"
+CUT_MARK = re.compile(r"\s*(\[(more|\.\.\.|…|truncated|cut|snip)\]|\((more|truncated)\)|<truncated>|\[\+\d+ chars\])\s*$")
 #: Dots after a text: a machine's mark or a pause the author meant.
-DOTS = r"\s*(\.{3,}|…)\s*$"
+DOTS = re.compile(r"\s*(\.{3,}|…)\s*$")
 #: Ends of a whole sentence, also behind closing quotes or brackets, and an emoticon.
-SENTENCE_END = r"([.!?。！？…:;]|[.!?。！？]?[\"'”’»)\]*_`]+)$|(:-?[)(D]|;-?\))$"
+SENTENCE_END = re.compile(r"([.!?。！？…:;]|[.!?。！？]?[\"'”’»)\]*_`]+)$|(:-?[)(D]|;-?\))$")
 #: The document types that hold program code (fixed values).
 CODE_TYPES = ["go", "python", "javascript", "typescript", "php", "rust", "java", "c", "cpp", "css"]
 #: Last lines that need no closing mark: bullets and numbers with a short
 #: phrase, table rows, fences, headings, trailers such as ``Refs: X-1``, titles.
-LOOSE_LINE = (
+LOOSE_LINE = re.compile(
     r"^(\s*[-*+] (\[[ xX]\] )?\S+( \S+){0,4}|\s*\|.*\||\s*(`{3,}|~{3,}|-{3,}|={3,}).*|#{1,6} .*"
     r"|[A-Z][A-Za-z-]*: [A-Z]+-\d+|\(.*\)|.*:)$"
 )
 #: A commit's subject, which has no closing mark, as the only line of a text.
-SUBJECT = r"^[a-z]+(\([^)\n]*\))?!?:[ \u00a0][^\n]*$"
-
-
-def _minus(text: Column, mark: str) -> Column:
-    return F.regexp_replace(text, mark, "")
+SUBJECT = re.compile(r"^[a-z]+(\([^)\n]*\))?!?:[ \u00a0][^\n]*$")
+#: A subject with the body flattened behind it.
+FLATTENED = re.compile(r"^[a-z]+(\([^)\n]*\))?!?: [^\n]*\S  [A-ZÀ-ÖØ-ÞЀ-Я]")
+#: Starts of structured texts and ends of whole pages and code (fixed patterns).
+JSON_START, HTML_START = re.compile(r"[\[{]\s*[\"{\[]"), re.compile(r"<(!doctype|html|\?xml)", re.I)
+HTML_END = re.compile(r"</(html|body|rss|feed|svg)>\s*$", re.I)
+CODE_END = re.compile(r"^\s*[})\]]+[;,]?$|^\s*(return|pass|raise|continue|break)\b[^(\[{]*$|[;}]$|\?>$")
+LAST_WORD = re.compile(r"(\w+)$")
 
 
-def _count(text: Column, what: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, what, ""))
+def describe_end(text: str, kind: str | None) -> tuple[str, bool, bool, bool, bool, str] | None:
+    """(shape, marked, dots, open, whole, last word) of a text, or None if it is blank.
 
-
-def describe_ends(df: DataFrame, id_col: str, text_col: str, source_col: str, type_col: str | None) -> DataFrame:
-    """What the end of each non-blank text looks like; one narrow pass in the JVM."""
-    t = F.col("_text")
-    body = F.rtrim(t, F.lit(BLANKS))
+    Brackets are counted over the whole text; its last line and last words are
+    read from the last 400 characters.
+    """
+    body = text.rstrip(BLANKS)
+    if not body:
+        return None
+    tail = body[-400:]
+    end = tail[-60:]
+    marked, dots = CUT_MARK.search(end) is not None, DOTS.search(end) is not None
+    core = (CUT_MARK.sub("", tail) if marked else DOTS.sub("", tail) if dots else tail).rstrip(" ")
+    end, line = core[-60:], core.rsplit("\n", 1)[-1]
+    head = text[:200].lstrip(BLANKS)
+    unclosed = any(body.count(a) > body.count(b) for a, b in ("{}", "()", "[]"))
+    word = LAST_WORD.search(end)
+    if kind in CODE_TYPES:
+        shape = "code"
+        last = body.rsplit("\n", 1)[-1]
+        is_open = unclosed or not (text.rstrip(" \t").endswith("\n") or CODE_END.search(last))
+    elif JSON_START.match(head):
+        shape, is_open = "json", unclosed
+    elif HTML_START.match(head):
+        shape, is_open = "html", HTML_END.search(tail) is None
+    else:
+        # a fence is open if the number of its marks is odd
+        shape, is_open = "title" if kind == "todo" else "prose", body.count("```") % 2 == 1
+    if shape in ("code", "json", "html"):
+        whole = not is_open
+    else:
+        subject = len(body) <= 400 and SUBJECT.match(core) and not FLATTENED.match(core)
+        whole = bool(SENTENCE_END.search(end) or LOOSE_LINE.match(line) or subject or (end.endswith(("}", "]")) and not unclosed))
+    return shape, marked, dots, is_open, whole, word[1].lower() if word else ""
+
+
+def odd_ends(df: DataFrame, id_col: str, text_col: str, source_col: str, type_col: str | None) -> DataFrame:
+    """The texts whose end is not plainly whole, with what it looks like:
+    _id, _source, _shape, _text, _len, _marked, _dots, _open, _whole, _word."""
     kind = F.lower(F.col(type_col)) if type_col else F.lit(None).cast("string")
-    d = df.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), kind.alias("_kind"), F.col(text_col).alias("_text")
-    ).where(F.length(F.ltrim(t, F.lit(BLANKS))) > 0)
-    d = d.withColumn("_body", body).withColumn("_len", F.length("_text"))
-    tail = F.col("_body").substr(-400, 400)
-    d = d.withColumn("_tail", F.when(F.length("_body") > 400, tail).otherwise(F.col("_body")))
-    d = d.withColumn("_marked", F.col("_tail").rlike(CUT_MARK)).withColumn("_dots", F.col("_tail").rlike(DOTS))
-    core = F.when(F.col("_marked"), _minus(F.col("_tail"), CUT_MARK)).when(F.col("_dots"), _minus(F.col("_tail"), DOTS)).otherwise(F.col("_tail"))
-    d = d.withColumn("_core", F.rtrim(core))
-    d = d.withColumn("_line", F.element_at(F.split("_core", "\n"), -1))
-    head = F.ltrim(F.col("_text").substr(1, 200))
-    is_json = head.rlike(r"^\s*[\[{]\s*[\"{\[]")
-    is_html = head.rlike(r"(?i)^\s*(<!doctype|<html|<\?xml)")
-    is_code = F.coalesce(F.col("_kind").isin(CODE_TYPES), F.lit(False))
-    d = d.withColumn(
-        "_shape",
-        F.when(is_code, "code").when(is_json, "json").when(is_html, "html").when(F.col("_kind") == "todo", "title").otherwise("prose"),
+    rows = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), kind.alias("_kind"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, seen = [], []
+            for r, (text, k) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_kind").to_pylist())):
+                end = describe_end(text, k)
+                if end is not None and (end[1] or end[2] or end[3] or not end[4]):
+                    keep.append(r)
+                    seen.append((len(text), *end))
+            at = pa.array(keep, pa.int32())
+            n, shape, marked, dots, is_open, whole, word = zip(*seen) if seen else ((),) * 7
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c).take(at) for c in ("_id", "_source", "_text")], pa.array(n, pa.int32()), pa.array(shape, pa.string()),
+                    *[pa.array(x, pa.bool_()) for x in (marked, dots, is_open, whole)], pa.array(word, pa.string()),
+                ],
+                names=["_id", "_source", "_text", "_len", "_shape", "_marked", "_dots", "_open", "_whole", "_word"],
+            )
+
+    id_kind, source_kind = (df.schema[c].dataType.simpleString() for c in (id_col, source_col))
+    return rows.mapInArrow(
+        run, f"_id {id_kind}, _source {source_kind}, _text string, _len int, _shape string, _marked boolean, _dots boolean, _open boolean, _whole boolean, _word string"
     )
-    open_braces = (
-        (_count(F.col("_body"), "{") > _count(F.col("_body"), "}"))
-        | (_count(F.col("_body"), "(") > _count(F.col("_body"), ")"))
-        | (_count(F.col("_body"), "[") > _count(F.col("_body"), "]"))
-    )
-    # a fence is open if the number of fence lines is odd
-    fences = F.size(F.split("_body", r"(?m)^\s*```")) - 1
-    closed = F.col("_core").rlike(r"[}\]]\s*$") & ~open_braces
-    d = d.withColumn(
-        "_open",
-        F.when(F.col("_shape") == "json", open_braces)
-        .when(F.col("_shape") == "html", ~F.lower("_tail").rlike(r"</(html|body|rss|feed|svg)>\s*$"))
-        .when(F.col("_shape") == "code", open_braces | _code_end_is_broken())
-        .otherwise(fences % 2 == 1),
-    )
-    # a subject with the body flattened behind it is prose
-    flat = F.col("_core").rlike(r"^[a-z]+(\([^)\n]*\))?!?: [^\n]*\S  \p{Lu}")
-    subject = (F.length("_body") <= 400) & F.col("_core").rlike(SUBJECT) & ~flat
-    whole = F.col("_core").rlike(SENTENCE_END) | F.col("_line").rlike(LOOSE_LINE) | subject | closed
-    d = d.withColumn("_whole", F.when(F.col("_shape").isin("code", "json", "html"), ~F.col("_open")).otherwise(whole))
-    d = d.withColumn("_word", F.lower(F.regexp_extract("_core", r"([\p{L}\p{M}\p{N}_]+)$", 1)))
-    return d.select("_id", "_source", "_shape", "_text", "_len", "_marked", "_dots", "_open", "_whole", "_word")
-
-
-def _code_end_is_broken() -> Column:
-    """Code whose last line is not finished: it neither ends a line nor closes a block."""
-    last = F.element_at(F.split("_body", "\n"), -1)
-    ends_line = F.col("_text").rlike(r"\n[ \t]*$")
-    closes = last.rlike(r"^\s*[})\]]+[;,]?$|^\s*(return|pass|raise|continue|break)\b[^(\[{]*$|[;}]$|\?>$")
-    return ~(ends_line | closes)
 
 
 def sentence_final_words(df: DataFrame, text_col: str, type_col: str | None) -> DataFrame:
@@ -173,8 +187,7 @@ def find_truncated(
     their whole brackets and their last 400 characters; clashing extra columns
     are ignored; an empty table gives an empty result.
     """
-    ends = describe_ends(df, id_col, text_col, source_col, type_col)
-    odd = cut(ends.where(~F.col("_whole") | F.col("_marked") | F.col("_dots") | F.col("_open")))
+    odd = cut(odd_ends(df, id_col, text_col, source_col, type_col))
     limits = field_limits(odd, slack)
     final = sentence_final_words(df, text_col, type_col)
     copies = prefix_copies(odd, df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
