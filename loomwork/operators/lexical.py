@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import expand_token, raw_tokens
@@ -59,6 +60,24 @@ def query_terms(query: str) -> list[str]:
     return out
 
 
+def _counted(df: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
+    """Per document its length and the count of each term, with the corpus statistics beside them."""
+    per = tokens(df, id_col, text_col).groupBy(id_col).agg(F.count("*").alias("dl"), *[F.count_if(F.col("term") == t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    stats = per.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
+    hits = per.where(F.greatest(*[F.col(f"_tf{i}") for i in range(len(terms))], F.lit(0)) > 0)
+    return hits.join(F.broadcast(stats))  # one row
+
+
+def _score(places: list[int], k1: float, b: float) -> Column:
+    """BM25 of the terms at these places; a place given twice counts twice."""
+    total = F.lit(0.0)
+    for i in dict.fromkeys(places):
+        tf, df_ = F.col(f"_tf{i}").cast("double"), F.col(f"_df{i}").cast("double")
+        idf = F.ln((F.col("_n") - df_ + 0.5) / (df_ + 0.5) + 1)
+        total = total + places.count(i) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("_avg")))
+    return F.round(total, 6)
+
+
 def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """id, score of every document with at least one query term.
 
@@ -71,23 +90,7 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k1: float = K1,
     distinct = list(dict.fromkeys(terms))
     if not distinct:
         return df.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    per = tokens(df, id_col, text_col).groupBy(id_col).agg(
-        F.count("*").alias("dl"), *[F.count_if(F.col("term") == t).alias(f"_tf{i}") for i, t in enumerate(distinct)]
-    )
-    stats = per.agg(
-        F.count("*").alias("_n"), F.avg("dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(distinct))]
-    )
-    hits = per.where(F.greatest(*[F.col(f"_tf{i}") for i in range(len(distinct))], F.lit(0)) > 0)
-    scored = hits.join(F.broadcast(stats))  # one row
-    parts = []
-    for i, t in enumerate(distinct):
-        tf, df_ = F.col(f"_tf{i}").cast("double"), F.col(f"_df{i}").cast("double")
-        idf = F.ln((F.col("_n") - df_ + 0.5) / (df_ + 0.5) + 1)
-        parts.append(terms.count(t) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("_avg"))))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return scored.select(id_col, F.round(total, 6).alias("score"))
+    return _counted(df, id_col, text_col, distinct).select(id_col, _score([distinct.index(t) for t in terms], k1, b).alias("score"))
 
 
 def top(scored: DataFrame, id_col: str, k: int, score_col: str = "score") -> DataFrame:
@@ -107,9 +110,18 @@ def lexical_search(df: DataFrame, id_col: str, text_col: str, query: str, k: int
 
 
 def keyword_search(df: DataFrame, id_col: str, text_col: str, keywords: list[str], k: int) -> DataFrame:
-    """Union of one lexical search per keyword; each id once, with its best score."""
-    out = None
-    for word in keywords:
-        one = top(bm25(df, id_col, text_col, word), id_col, k).withColumn("keyword", F.lit(word))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy(id_col).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("keyword")).alias("keywords"))
+    """The k best documents of each keyword, each id once with its best score and the keywords it was found by.
+
+    The texts are tokenized once for all keywords; the ranking keeps k rows per
+    keyword before its shuffle.
+    """
+    cut = {w: query_terms(w) for w in keywords}
+    distinct = list(dict.fromkeys(t for terms in cut.values() for t in terms))
+    if not distinct:
+        return df.select(id_col, F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("keywords")).limit(0)
+    places = {w: [distinct.index(t) for t in terms] for w, terms in cut.items() if terms}
+    each = F.array(*[F.struct(F.lit(w).alias("keyword"), _score(at, K1, B).alias("score")) for w, at in places.items()])
+    found = _counted(df, id_col, text_col, distinct).select(id_col, F.explode(each).alias("_e")).select(id_col, "_e.keyword", "_e.score").where("score > 0")
+    w = W.partitionBy("keyword").orderBy(F.desc("score"), F.asc(id_col))
+    best = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    return best.groupBy(id_col).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("keyword")).alias("keywords"))

@@ -132,10 +132,20 @@ def endpoint_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", "score")
 
 
-@query()
+_ROUTES = ["router", "handler", "gateway", "server"]
+
+
+@query(
+    "WITH " + sql.tokens("chunks", "chunk_id", "content") + ", per AS (SELECT id, count(*) AS dl FROM toks GROUP BY id), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM per), "
+    f"tf AS (SELECT id, term, count(*) AS tf FROM toks WHERE term IN ({', '.join(repr(w) for w in _ROUTES)}) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
+    "s AS (SELECT id, term, round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM tf JOIN df USING (term) JOIN per USING (id), stats), "
+    "b AS (SELECT * FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY score DESC, id) <= 20) "
+    "SELECT id AS chunk_id, max(score) AS score, array_to_string(list_sort(list(term)), ' ') AS keywords FROM b GROUP BY id"
+)
 def endpoint_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of the best chunks of several route keywords, each once."""
-    return lexical.keyword_search(table(spark, sf_dir, "chunks"), "chunk_id", "content", ["router", "handler", "gateway", "server"], 20)
+    """The best chunks of several route keywords, each once."""
+    found = lexical.keyword_search(table(spark, sf_dir, "chunks"), "chunk_id", "content", _ROUTES, 20)
+    return found.select("chunk_id", "score", F.array_join("keywords", " ").alias("keywords"))
 
 
 _VQ = "WITH " + sql.RECORDS + ", " + sql.VECTORS + ", q AS (SELECT v AS qv FROM vec ORDER BY rec_no LIMIT 1)"

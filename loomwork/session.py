@@ -30,8 +30,14 @@ def local_session(cores: str = "8", shuffle_partitions: int | None = None, memor
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; only the columns a plan uses are read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table; only the columns a plan uses are read.
+
+    A table of fewer splits than the session has cores (one small file) is
+    spread over them; larger ones are taken as they lie, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
 
 
 def cut(df: DataFrame) -> DataFrame:
