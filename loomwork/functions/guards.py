@@ -63,6 +63,6 @@ def is_safe_path(path: Column, depth: int = 20) -> Column:
 
 
 def safe_filename(name: Column) -> Column:
-    """A file name without separators, reserved and control characters; ``unnamed`` if nothing is left."""
-    out = F.regexp_replace(F.regexp_replace(name, r"[\x00-\x1F\x7F<>:\"/\\|?*]", "_"), r"^[. ]+|[. ]+$", "")
+    """A file name without separators, null characters and leading dots, of at most 255 characters; ``unnamed`` if nothing is left."""
+    out = F.regexp_replace(F.replace(F.translate(name, "/\\", "__"), F.lit("\0"), F.lit("")), r"^\.+", "")
     return F.when(F.length(out) > 0, F.substring(out, 1, 255)).otherwise(F.lit("unnamed"))

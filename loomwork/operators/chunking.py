@@ -9,12 +9,16 @@ from ..functions.text import newline_count
 
 #: Windows: size and overlap in code points (fixed values).
 WINDOW, WINDOW_OVERLAP, SPLIT, SPLIT_OVERLAP = 3000, 500, 8000, 800
-#: Imports by language, each with the module in group 1 (fixed patterns).
+#: Imports, each pattern with what is imported in group 1 (fixed values).
 IMPORTS = {
-    "js": [r"(?m)^\s*(?:import|export)\s[^'\"\n;]*?from\s+['\"]([^'\"]+)['\"]", r"(?m)^\s*import\s+['\"]([^'\"]+)['\"]", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)"],
-    "go": [r"(?m)^\s*import\s+(?:[\w.]+\s+)?\"([^\"]+)\"", r"(?m)^\s+(?:[\w.]+\s+)?\"([\w./\-]+)\"\s*$"],
-    "php": [r"(?m)^\s*use\s+([A-Za-z_\\][\w\\]*)", r"(?:require|include)(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]"],
-}
+    "js module": r"(?:import|from|require)\s*\(?\s*['\"]([^'\"]+)['\"]",
+    "js names": r"import\s*\{([^}]+)\}",
+    "go single": r"import\s+(?:[a-zA-Z0-9_.]+\s+)?[\"']([^\"']+)[\"']",
+    "go block": r"import\s+\(([\s\S]*?)\)",
+    "go inner": r"(?:[a-zA-Z0-9_.]+\s+)?[\"']([^\"']+)[\"']",
+    "php file": r"(?:require|require_once|include|include_once)\s*\(?\s*['\"]([^'\"]+)['\"]",
+    "php names": r"use\s+([^;]+);",
+}
 
 
 def windows(df: DataFrame, id_col: str, text_col: str, size: int = WINDOW, overlap: int = WINDOW_OVERLAP, first_line: Column | None = None) -> DataFrame:
@@ -46,12 +50,12 @@ def contextual_string(path: Column, entity: Column, parent: Column, kind: Column
     text = lambda c, other: F.when(F.length(F.coalesce(c, F.lit(""))) > 0, c).otherwise(F.lit(other))
     called = F.when(F.size(calls) > 0, F.array_join(calls, ", ")).otherwise(F.lit("None"))
     entries = F.array_sort(F.transform(F.map_entries(structure), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))))
-    shape = F.when(F.size(entries) > 0, F.concat(F.lit("Structure: "), F.array_join(entries, ", "), F.lit(". "))).otherwise(F.lit(""))
+    shape = F.when(F.size(entries) > 0, F.concat(F.lit(" [Structure: "), F.array_join(entries, " "), F.lit(" ]"))).otherwise(F.lit(""))
     parts = F.when(F.length(F.coalesce(parent, F.lit(""))) > 0, F.concat(F.lit("Parent: "), parent, F.lit(". "))).otherwise(F.lit(""))
     return F.concat(
         F.lit("File: "), F.coalesce(path, F.lit("")), F.lit(". Entity: "), text(entity, "Global"), F.lit(". "), parts,
-        F.lit("Type: "), F.coalesce(kind, F.lit("")), F.lit(". Docstring: "), text(docstring, "None"), F.lit(". Calls: "), called, F.lit(". "),
-        shape, F.lit("Code:\n"), F.coalesce(content, F.lit("")),
+        F.lit("Type: "), F.coalesce(kind, F.lit("")), F.lit(". Docstring: "), text(docstring, "None"), F.lit(". Calls: "), called, F.lit("."),
+        shape, F.lit(" Code:\n"), F.coalesce(content, F.lit("")),
     )
 
 
@@ -61,13 +65,22 @@ def language_of(path: Column) -> Column:
 
 
 def imports(path: Column, content: Column) -> Column:
-    """Imported modules in order of pattern and place, each once; none for other languages."""
-    found = F.array().cast("array<string>")
-    by = found
-    for lang, patterns in IMPORTS.items():
-        parts = F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in patterns])
-        by = F.when(language_of(path) == lang, parts).otherwise(by)
-    return F.array_distinct(F.coalesce(by, found))
+    """Imported modules and names in order of pattern and place, each once, without aliases; none for other languages."""
+
+    def every(key: str, text: Column = content) -> Column:
+        return F.regexp_extract_all(text, F.lit(IMPORTS[key]), F.lit(1))
+
+    def names(key: str) -> Column:
+        bare = lambda n: F.regexp_replace(F.split(n, " as ")[0], r"^\s+|\s+$", "")
+        return F.flatten(F.transform(every(key), lambda b: F.transform(F.split(b, ","), bare)))
+
+    lang = language_of(path)
+    found = (
+        F.when(lang == "js", F.concat(every("js module"), names("js names")))
+        .when(lang == "go", F.concat(every("go single"), F.flatten(F.transform(every("go block"), lambda b: every("go inner", b)))))
+        .when(lang == "php", F.concat(every("php file"), names("php names")))
+    )
+    return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
 
 
 def html_tags(content: Column) -> Column:

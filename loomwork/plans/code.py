@@ -78,10 +78,10 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH " + _CHUNK + ", s AS (SELECT *, array_to_string(list_sort(list_transform(map_entries(structural_metadata), lambda e: e.key || '=' || coalesce(e.value, ''))), ', ') AS st FROM ch) "
+    "WITH " + _CHUNK + ", s AS (SELECT *, array_to_string(list_sort(list_transform(map_entries(structural_metadata), lambda e: e.key || '=' || coalesce(e.value, ''))), ' ') AS st FROM ch) "
     "SELECT chunk_id, sha256('File: ' || coalesce(rel_path, '') || '. Entity: ' || CASE WHEN symbols[1] <> '' THEN symbols[1] ELSE 'Global' END || '. ' || CASE WHEN parent_symbol <> '' THEN 'Parent: ' || parent_symbol || '. ' ELSE '' END || "
-    "'Type: ' || coalesce(type, '') || '. Docstring: ' || CASE WHEN docstring <> '' THEN docstring ELSE 'None' END || '. Calls: ' || CASE WHEN len(calls) > 0 THEN array_to_string(calls, ', ') ELSE 'None' END || '. ' || "
-    "CASE WHEN st <> '' THEN 'Structure: ' || st || '. ' ELSE '' END || 'Code:' || chr(10) || coalesce(content, '')) AS hash FROM s"
+    "'Type: ' || coalesce(type, '') || '. Docstring: ' || CASE WHEN docstring <> '' THEN docstring ELSE 'None' END || '. Calls: ' || CASE WHEN len(calls) > 0 THEN array_to_string(calls, ', ') ELSE 'None' END || '.' || "
+    "CASE WHEN st <> '' THEN ' [Structure: ' || st || ' ]' ELSE '' END || ' Code:' || chr(10) || coalesce(content, '')) AS hash FROM s"
 )
 def contextual_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is embedded of each chunk, as a hash."""
@@ -108,15 +108,21 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _imports_sql(content: str) -> str:
-    def one(lang: str) -> str:
-        parts = [f"regexp_extract_all({content}, '" + p.replace("'", "''") + "', 1)" for p in chunking.IMPORTS[lang]]
-        out = parts[0]
-        for p in parts[1:]:
-            out = f"list_concat({out}, {p})"
-        return out
+    p = {k: v.replace("'", "''") for k, v in chunking.IMPORTS.items()}
 
+    def every(key: str, text: str = content) -> str:
+        return f"regexp_extract_all({text}, '{p[key]}', 1)"
+
+    def names(key: str) -> str:
+        one = "regexp_replace(string_split(n, ' as ')[1], '^\\s+|\\s+$', '', 'g')"
+        return f"flatten(list_transform({every(key)}, lambda b: list_transform(string_split(b, ','), lambda n: {one})))"
+
+    inner = f"flatten(list_transform({every('go block')}, lambda b: {every('go inner', 'b')}))"
     ends = "regexp_extract(rel_path, '(\\.[A-Za-z0-9]+)$', 1)"
-    return f"CASE WHEN {ends} IN ('.ts', '.tsx', '.js', '.jsx') THEN {one('js')} WHEN {ends} = '.go' THEN {one('go')} WHEN {ends} = '.php' THEN {one('php')} END"
+    return (
+        f"CASE WHEN {ends} IN ('.ts', '.tsx', '.js', '.jsx') THEN list_concat({every('js module')}, {names('js names')}) "
+        f"WHEN {ends} = '.go' THEN list_concat({every('go single')}, {inner}) WHEN {ends} = '.php' THEN list_concat({every('php file')}, {names('php names')}) END"
+    )
 
 
 @query("WITH " + _CHUNK + f", i AS (SELECT chunk_id, unnest({_imports_sql('content')}) AS module FROM ch) SELECT DISTINCT chunk_id, module FROM i")
@@ -140,7 +146,7 @@ _IGN = "(node_modules|\\.git|\\.next|\\.turbo|dist|build|generated|coverage|out|
 
 @query(
     f"SELECT DISTINCT project_id, rel_path FROM scan_results WHERE NOT regexp_matches(rel_path, '(^|/){_IGN}/') AND NOT regexp_matches(lower(rel_path), '\\.(map|svg|png|jpg|jpeg|gif|ico|pdf)$|\\.min\\.js$') "
-    "AND regexp_matches(rel_path, '\\.(go|js|jsx|ts|tsx|php|py|rs|html|css|md|txt|json|yaml|yml|sql|proto|pdf)$') AND NOT regexp_matches(lower(rel_path), '(^|/)(package-lock\\.json|pnpm-lock\\.yaml|yarn\\.lock|go\\.sum)$')"
+    "AND regexp_matches(rel_path, '\\.(ts|tsx|js|jsx|prisma|json|css|html|md|env|yml|yaml|go|py|rs|sh|txt|pdf)$') AND NOT regexp_matches(lower(rel_path), '(^|/)(package-lock\\.json|pnpm-lock\\.yaml|yarn\\.lock|go\\.sum)$')"
 )
 def scan_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths a scan takes up."""

@@ -13,7 +13,7 @@ from ..functions.text import glob_regex
 IGNORED_DIRS = ["node_modules", ".git", ".next", ".turbo", "dist", "build", "generated", "coverage", "out", "vendor", ".vector-db", ".data"]
 IGNORED_FILES = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock", "go.sum"]
 IGNORED_ENDINGS = [".map", ".min.js", ".svg", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf"]
-ENDINGS = [".go", ".js", ".jsx", ".ts", ".tsx", ".php", ".py", ".rs", ".html", ".css", ".md", ".txt", ".json", ".yaml", ".yml", ".sql", ".proto", ".pdf"]
+ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".prisma", ".json", ".css", ".html", ".md", ".env", ".yml", ".yaml", ".go", ".py", ".rs", ".sh", ".txt", ".pdf"]
 
 
 def allowed(path: Column) -> Column:

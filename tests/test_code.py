@@ -23,19 +23,23 @@ def test_windows(spark):
 
 def test_imports_and_scores(spark):
     rows = [
-        ("a.ts", 'import x from "module1";\nimport { y as z } from \'module2\';\nimport "module3";\nexport * from "X";\nconst q = require("Y");'),
+        ("a.ts", 'import x from "module1";\nimport { X, Y as z } from \'module2\';\nconst q = require("module3");'),
         ("a.go", 'import "fmt"\nimport (\n\t"context"\n\tx "strings"\n\t"github.com/pkg/errors"\n)\n'),
-        ("a.php", "<?php\nrequire_once 'vendor/autoload.php';\nuse App\\Models\\User;\nuse Some\\ClassA as A;\n"), ("a.txt", "import x from 'y'"), ("a.go", None),
+        ("a.php", "<?php\nrequire_once 'vendor/autoload.php';\nuse App\\Models\\User;\nuse Some\\ClassA as A, Some\\ClassB;\n"), ("a.txt", "import x from 'y'"), ("a.go", None),
     ]
     df = spark.createDataFrame(rows, "p string, c string")
     got = [set(r[0]) for r in df.select(chunking.imports(F.col("p"), F.col("c"))).collect()]
-    assert got == [{"module1", "module2", "module3", "X", "Y"}, {"fmt", "context", "strings", "github.com/pkg/errors"}, {"App\\Models\\User", "Some\\ClassA", "vendor/autoload.php"}, set(), set()]
+    assert got == [{"module1", "module2", "module3", "X", "Y"}, {"fmt", "context", "strings", "github.com/pkg/errors"}, {"App\\Models\\User", "Some\\ClassA", "Some\\ClassB", "vendor/autoload.php"}, set(), set()]
     s = spark.createDataFrame([(1, 2, ["a"]), (1, 20, []), (1, 5, None)], "s int, e int, c array<string>")
     assert [r[0] for r in s.select(chunking.function_score(F.col("s"), F.col("e"), F.col("c"))).collect()] == [0.8, 1.2, 1.0]
 
 
 def test_contextual_string(spark):
     df = spark.createDataFrame([("test.txt", None, None, "", None, [], {}, "body")], "p string, e string, r string, k string, d string, c array<string>, m map<string,string>, t string")
+    full = spark.createDataFrame([("a.go", "Get", "Store", "method_declaration", "Reads.", ["b", "c"], {"y": "2", "x": "1"}, "body")], df.schema)
+    assert full.select(chunking.contextual_string(*map(F.col, "perkdcmt"))).first()[0] == (
+        "File: a.go. Entity: Get. Parent: Store. Type: method_declaration. Docstring: Reads.. Calls: b, c. [Structure: x=1 y=2 ] Code:\nbody"
+    )
     assert df.select(chunking.contextual_string(*map(F.col, "perkdcmt"))).first()[0] == "File: test.txt. Entity: Global. Type: . Docstring: None. Calls: None. Code:\nbody"
 
 
