@@ -27,7 +27,7 @@ _DEFINITIONS = {
         re.compile(rf"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>{_ID})\s*(?:<[^(]*>)?\s*\((?P<args>[^)]*)"),
         re.compile(
             rf"^\s*(?:export\s+)?(?:default\s+)?(?:const|let|var)\s+(?P<name>{_ID})\s*(?::[^=]*(?:=>[^=]*)?)?=\s*(?:async\s*)?"
-            rf"(?:function\b[^(]*\((?P<args>[^)]*)|(?:<[^(]*>\s*)?\((?P<args2>[^)]*)\)?[^=;]*(?:=>|$)|(?P<args3>{_ID})\s*=>)"
+            rf"(?:function\b[^(]*\((?P<args>[^)]*)|(?:<[^(]*>\s*)?\((?P<args2>[^)]*)(?:\)[^=;]*=>|$)|(?P<args3>{_ID})\s*=>)"
         ),
         re.compile(
             rf"^\s*(?:(?:public|protected|private|static|async|override|readonly|abstract|get|set)\s+)*\*?\s*(?P<name>#?{_ID})\s*(?:<[^(]*>)?\s*\((?P<args>[^)]*)(?:\)\s*(?::[^{{=;]*)?\{{.*|,?)$"
