@@ -499,7 +499,7 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 @query(
-    "SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g') AS text FROM documents"
+    "SELECT doc_id, regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g') AS text FROM documents"
 )
 def strip_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """texts without control characters."""
