@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def usable(vector: Column, dim: int) -> Column:
     """Of the right width, all entries finite, not all zero."""
@@ -67,7 +69,7 @@ def nearest_of_queries(rows: DataFrame, queries: DataFrame, id_col: str, vec_col
     """
     spark = rows.sparkSession
     good = rows.where(usable(F.col(vec_col), dim)).select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<float>").alias("_v"))
-    asked = queries.where(usable(F.col(vec_col), dim)).select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<float>").alias("_v"))
+    asked = cut(queries.where(usable(F.col(vec_col), dim)).select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<float>").alias("_v")))
     count = asked.count()
     blocks = max(1, -(-count // block))
     out = spark.createDataFrame([], "query bigint, neighbor bigint, similarity double")
