@@ -122,7 +122,7 @@ def with_orders(reps: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
     )
 
 
-def similar_classes(reps: DataFrame, t: float) -> DataFrame:
+def similar_classes(reps: DataFrame, t: float, apart: DataFrame | None = None) -> DataFrame:
     """Pairs of classes whose multisets of words have a Jaccard of at least ``t``: _a < _b, similarity.
 
     Two global orders of the tokens, both by rising frequency (of a sketch;
@@ -134,7 +134,8 @@ def similar_classes(reps: DataFrame, t: float) -> DataFrame:
     parity bitmaps of 256 bits, a lower bound of the tokens that differ; the
     pairs left must meet under the second order too before their tokens are
     compared.  All bounds are exact: no pair is lost.  A token in a single text
-    is no key.
+    is no key.  With ``apart`` (_rep, _g) only pairs of different _g are given,
+    and a token met in one _g alone is no key either.
     """
     reps = cut(reps)
     ordered = with_orders(reps, frequency_sketch(reps), t)
@@ -143,6 +144,9 @@ def similar_classes(reps: DataFrame, t: float) -> DataFrame:
         .where(~F.col("_x._alone"))
         .select(F.col("_x._p1").alias("_t"), F.col("_pos").cast("int"), "_rep", "_s", "_b0", "_b1", "_b2", "_b3")
     )
+    if apart is not None:
+        posts = cut(posts.join(apart, "_rep"))
+        posts = posts.join(posts.groupBy("_t").agg(F.min("_g").alias("_g0"), F.max("_g").alias("_g1")).where("_g0 < _g1").select("_t"), "_t", "left_semi")
     a, b = posts.alias("a"), posts.alias("b")
     shared = F.ceil((F.col("a._s") + F.col("b._s")) * (t / (1 + t)) - 1e-9)
     rest = F.least(F.col("a._s") - F.col("a._pos"), F.col("b._s") - F.col("b._pos"))
@@ -153,6 +157,8 @@ def similar_classes(reps: DataFrame, t: float) -> DataFrame:
         & (rest + F.least("a._pos", "b._pos") >= shared)
         & (differ <= F.col("a._s") + F.col("b._s") - 2 * shared)
     )
+    if apart is not None:
+        close &= F.col("a._g") != F.col("b._g")
     pairs = a.join(b, (F.col("a._t") == F.col("b._t")) & close).select(F.col("a._rep").alias("_a"), F.col("b._rep").alias("_b")).distinct()
     pairs = cut(pairs)
     asked = pairs.select(F.explode(F.array("_a", "_b")).alias("_rep")).distinct()
