@@ -16,7 +16,7 @@ from ..session import cut
 
 #: A word is a run of letters, digits and ``_``, in lower case (fixed value).
 WORD = re.compile(r"\w+")
-#: Copies of one text up to which all their pairs are given; beyond that a star.
+#: Copies of one text (the same words in the same order) up to which all their pairs are given; beyond that a star.
 STAR_FROM = 64
 #: Buckets of the frequency sketch that sets the token orders; its size is the
 #: only thing every task gets.
@@ -26,7 +26,7 @@ _CACHED = 500_000
 
 
 def word_bags(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """_id, _key (stands for the multiset of words), _toks of the texts with enough words.
+    """_id, _key (stands for the multiset of words), _seq (for the words in their order), _toks of the texts with enough words.
 
     A word occurring n times is n tokens, 64-bit hashes of (word, 1..n).
     """
@@ -45,7 +45,7 @@ def word_bags(df: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
             return t
 
         for batch in batches:
-            keep, keys, bags = [], [], []
+            keep, keys, seqs, bags = [], [], [], []
             for r, text in enumerate(batch.column("_text").to_pylist()):
                 words = WORD.findall(text.lower())
                 if len(words) < min_words:
@@ -54,23 +54,26 @@ def word_bags(df: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
                 toks.sort()
                 keep.append(r)
                 keys.append(hashlib.blake2b(toks.tobytes(), digest_size=16).hexdigest())
+                seqs.append(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
                 bags.append(toks)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id").take(pa.array(keep, pa.int32())), pa.array(keys, pa.string()), pa.array(bags, pa.list_(pa.int64()))], names=["_id", "_key", "_toks"]
+                [batch.column("_id").take(pa.array(keep, pa.int32())), pa.array(keys, pa.string()), pa.array(seqs, pa.string()), pa.array(bags, pa.list_(pa.int64()))],
+                names=["_id", "_key", "_seq", "_toks"],
             )
 
-    return rows.mapInArrow(run, "_id bigint, _key string, _toks array<bigint>")
+    return rows.mapInArrow(run, "_id bigint, _key string, _seq string, _toks array<bigint>")
 
 
 def classes(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts with the same words as often as each other: ``(members, reps)``.
 
-    ``members``: _id, _rep (the smallest id of the class), _size.  ``reps``:
-    _rep, _toks.
+    ``members``: _id, _rep (the smallest id of the class), _size, _copy (the
+    smallest id with the words in the same order), _copies.  ``reps``: _rep, _toks.
     """
-    ids = cut(bags.groupBy("_id").agg(F.min("_key").alias("_key")))
+    ids = cut(bags.groupBy("_id").agg(F.min(F.struct("_key", "_seq")).alias("_k")).select("_id", "_k.*"))
     firsts = ids.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_size"))
-    members = ids.join(firsts, "_key").select("_id", "_rep", "_size")
+    texts = ids.groupBy("_key", "_seq").agg(F.min("_id").alias("_copy"), F.count("*").alias("_copies"))
+    members = ids.join(texts, ["_key", "_seq"]).join(firsts, "_key").select("_id", "_rep", "_size", "_copy", "_copies")
     reps = bags.groupBy("_key").agg(F.first("_toks").alias("_toks")).join(firsts, "_key").select("_rep", "_toks")
     return members, reps
 
@@ -181,7 +184,7 @@ def near_duplicates(
     """``(links, members)``: links between classes of equal bags of words, and each row's class.
 
     ``links``: _a < _b (smallest ids of two classes), similarity.  ``members``:
-    _id, _rep, _size.  Together they hold every pair of texts that reach ``t``:
+    _id, _rep, _size, _copy, _copies.  Together they hold every pair of texts that reach ``t``:
     the members of a class are mutual copies, and a link holds for each member
     of the one class with each of the other.
 
@@ -198,19 +201,17 @@ def near_duplicates(
 def near_duplicate_pairs(links: DataFrame, members: DataFrame, star_from: int = STAR_FROM) -> DataFrame:
     """Pairs of different ids, rec_a < rec_b.
 
-    Copies: all pairs inside a class of at most ``star_from`` members; a larger
-    class is a star around its smallest id, so that no group is squared.  Links
-    are expanded to all members of classes within that size, and stand for
-    their classes' smallest ids beyond it; nothing that is linked is lost.
+    Copies have the same words in the same order.  Up to ``star_from`` of them
+    give all their pairs; more are a star around their smallest id, which alone
+    stands for them.  All different texts of a class, and of linked classes,
+    are paired, whatever the size of the classes.
     """
-    small = members.where(F.col("_size") <= star_from)
-    groups = small.where(F.col("_size") > 1).groupBy("_rep").agg(F.array_sort(F.collect_list("_id")).alias("_ids"))
-    inside = groups.select(F.explode("_ids").alias("rec_a"), "_ids").select("rec_a", F.explode("_ids").alias("rec_b")).where("rec_a < rec_b")
-    star = members.where((F.col("_size") > star_from) & (F.col("_id") != F.col("_rep"))).select(
-        F.col("_rep").alias("rec_a"), F.col("_id").alias("rec_b")
+    star = members.where((F.col("_copies") > star_from) & (F.col("_id") != F.col("_copy"))).select(
+        F.col("_copy").alias("rec_a"), F.col("_id").alias("rec_b")
     )
-    # a large class stands as its smallest id alone
-    stands = members.where((F.col("_size") <= star_from) | (F.col("_id") == F.col("_rep")))
+    stands = members.where((F.col("_copies") <= star_from) | (F.col("_id") == F.col("_copy")))
+    left, right = stands.select("_rep", F.col("_id").alias("rec_a")), stands.select("_rep", F.col("_id").alias("rec_b"))
+    inside = left.join(right, "_rep").where("rec_a < rec_b").select("rec_a", "rec_b")
     across = (
         links.join(stands.select(F.col("_rep").alias("_a"), F.col("_id").alias("_ia")), "_a")
         .join(stands.select(F.col("_rep").alias("_b"), F.col("_id").alias("_ib")), "_b")

@@ -82,3 +82,15 @@ def test_exactly_at_the_threshold(spark):
     got = {tuple(r) for r in near_duplicate_pairs(links, members).collect()}
     assert got == brute({1: a, 2: b, 3: c, 4: d})
     assert (1, 3) in got and (1, 4) not in got
+
+
+def test_large_classes_of_different_texts(spark):
+    rng = random.Random(5)
+    data = {}
+    for i in range(140):  # two linked classes of 70 orders each
+        words = [f"a{n}" for n in range(25)] + (["b"] if i % 2 else [])
+        rng.shuffle(words)
+        data[i] = " ".join(words)
+    links, members = near_duplicates(spark.createDataFrame([(i, x, 0) for i, x in data.items()], SCHEMA))
+    got = [tuple(r) for r in near_duplicate_pairs(links, members).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(data)
