@@ -17,6 +17,8 @@ BLANKS = " \t\r\n\f\v\u00a0\u200b\u2028\u2029\u3000\ufeff"
 CUT_MARK = re.compile(r"\s*(\[(more|\.\.\.|…|truncated|cut|snip)\]|\((more|truncated)\)|<truncated>|\[\+\d+ chars\])\s*$")
 #: Dots after a text: a machine's mark or a pause the author meant.
 DOTS = re.compile(r"\s*(\.{3,}|…)\s*$")
+#: What may follow a text without making it longer: blanks and one mark.
+ONLY_MARK = r"^[\s\u00a0\u200b\u2028\u2029\u3000\ufeff]*(\[(more|\.\.\.|…|truncated|cut|snip)\]|\((more|truncated)\)|<truncated>|\[\+\d+ chars\]|\.{3,}|…)?[\s\u00a0\u200b\u2028\u2029\u3000\ufeff]*$"
 #: Ends of a whole sentence, also behind closing quotes or brackets, and an emoticon.
 SENTENCE_END = re.compile(r"([.!?。！？…:;]|[.!?。！？]?[\"'”’»)\]*_`]+)$|(:-?[)(D]|;-?\))$")
 #: The document types that hold program code (fixed values).
@@ -74,25 +76,34 @@ def describe_end(text: str, kind: str | None) -> tuple[str, bool, bool, bool, bo
     return shape, marked, dots, is_open, whole, word[1].lower() if word else ""
 
 
+def core_text(text: str) -> str:
+    """The text without a mark of omission and blanks at its end."""
+    body = text.rstrip(BLANKS)
+    head, tail = body[:-400], body[-400:]
+    cut_off = CUT_MARK.sub("", tail) if CUT_MARK.search(tail) else DOTS.sub("", tail)
+    return (head + cut_off).rstrip(BLANKS)
+
+
 def odd_ends(df: DataFrame, id_col: str, text_col: str, source_col: str, type_col: str | None) -> DataFrame:
     """The texts whose end is not plainly whole, with what it looks like:
-    _id, _source, _shape, _text, _len, _marked, _dots, _open, _whole, _word."""
+    _id, _source, _shape, _text (without mark and blanks), _len, _marked, _dots, _open, _whole, _word."""
     kind = F.lower(F.col(type_col)) if type_col else F.lit(None).cast("string")
     rows = df.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), kind.alias("_kind"), F.col(text_col).alias("_text")).where(F.length("_text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, seen = [], []
+            keep, seen, cores = [], [], []
             for r, (text, k) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_kind").to_pylist())):
                 end = describe_end(text, k)
                 if end is not None and (end[1] or end[2] or end[3] or not end[4]):
                     keep.append(r)
                     seen.append((len(text), *end))
+                    cores.append(core_text(text))
             at = pa.array(keep, pa.int32())
             n, shape, marked, dots, is_open, whole, word = zip(*seen) if seen else ((),) * 7
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(c).take(at) for c in ("_id", "_source", "_text")], pa.array(n, pa.int32()), pa.array(shape, pa.string()),
+                    *[batch.column(c).take(at) for c in ("_id", "_source")], pa.array(cores, pa.string()), pa.array(n, pa.int32()), pa.array(shape, pa.string()),
                     *[pa.array(x, pa.bool_()) for x in (marked, dots, is_open, whole)], pa.array(word, pa.string()),
                 ],
                 names=["_id", "_source", "_text", "_len", "_shape", "_marked", "_dots", "_open", "_whole", "_word"],
@@ -130,8 +141,8 @@ def field_limits(odd: DataFrame, slack: int = 24, least: int = 5) -> DataFrame:
 
 
 def prefix_copies(odd: DataFrame, texts: DataFrame, least: int = 20) -> DataFrame:
-    """Texts of ``odd`` (_id, _text, _len, _whole, _open) that are strict prefixes of
-    longer ones of ``texts`` (_id, _text): _id, _longer, the length of the longest such copy.
+    """Texts of ``odd`` (_id, _text, _whole, _open) that are strict prefixes of
+    longer ones of ``texts``, which go on with more than marks of omission and blanks (_id, _text): _id, _longer, the length of the longest such copy.
 
     A text of length L with P <= L < 2P, P a power of two, looks among texts of
     the same first P characters by hash.  Per such hash only the distinct
@@ -140,7 +151,7 @@ def prefix_copies(odd: DataFrame, texts: DataFrame, least: int = 20) -> DataFram
     lengths asked for, and equal hashes are verified on the text.  No step pairs
     the members of a group, and a hot prefix costs its rows once per length.
     """
-    shorts = odd.where((~F.col("_whole") | F.col("_open")) & (F.col("_len") >= least)).select("_id", "_text", "_len")
+    shorts = odd.where(~F.col("_whole") | F.col("_open")).select("_id", "_text", F.length("_text").alias("_len")).where(F.col("_len") >= least)
     level = F.expr("shiftleft(1, int(floor(log2(double(_len)))))")
     asked = shorts.withColumn("_p", level).withColumn("_key", F.xxhash64("_p", F.expr("substring(_text, 1, _p)")))
     lengths = asked.groupBy("_p", "_key").agg(F.collect_set("_len").alias("_ls"))
@@ -155,6 +166,7 @@ def prefix_copies(odd: DataFrame, texts: DataFrame, least: int = 20) -> DataFram
     offers = (
         longs.join(wanted, "_id")
         .where("_l < _len")
+        .where((F.col("_len") - F.col("_l") > 100) | ~F.expr("substring(_text, _l + 1)").rlike(ONLY_MARK))
         .select("_l", F.xxhash64(prefix).alias("_h"), prefix.alias("_prefix"), F.col("_len").alias("_n"))
         .groupBy("_l", "_h", "_prefix")
         .agg(F.max("_n").alias("_longer"))
@@ -197,8 +209,8 @@ def find_truncated(
     prose = F.col("_shape") == "prose"
     evidence = (
         F.when(F.col("_shape") == "title", F.when(F.col("_marked"), "mark"))
-        .when(F.col("_longer").isNotNull() & (~F.col("_whole") | F.col("_open")), "copy")
         .when(F.col("_marked") & ~F.col("_whole"), "mark")
+        .when(F.col("_longer").isNotNull() & (~F.col("_whole") | F.col("_open")), "copy")
         .when(F.col("_open"), "structure")
         .when(prose & F.col("_dots") & ~F.col("_whole") & ~known, "sentence")
         .when(prose & F.col("_dots") & ~F.col("_whole") & at_limit, "limit")

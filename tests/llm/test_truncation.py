@@ -48,3 +48,13 @@ def test_a_limit_with_dots(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert find_truncated(df).count() == 0 and truncation_shares(df, find_truncated(df)).count() == 0
+
+
+def test_marked_texts_with_their_copy(spark):
+    words = [(i, f"The lamp stands beside the edge. Row {i} is whole.", "a", "note") for i in range(3)]  # "edge" ends sentences elsewhere
+    long = "It took 4 minutes to trace the sample to the edge of the third ring. It is done."
+    cut = long[: long.index("edge") + 4]
+    rows = words + [(10, long, "a", "note"), (11, cut + "...", "a", "note"), (12, cut + "\u2026 ", "a", "note"), (13, cut + " [more]", "a", "note")]
+    rows += [(14, "Nobody walks past the old edge...", "a", "note"), (15, "Nobody walks past the old edge....  ", "a", "note")]  # no copy goes on
+    _, got = run(spark, rows)
+    assert got == {11: "copy", 12: "copy", 13: "mark"}
