@@ -124,6 +124,10 @@ def informative(doc: str | None, name: str, params: list[str]) -> bool:
     return len(words) >= 2
 
 
+#: Strings, comments and single characters of JavaScript.
+_PIECE = re.compile(r"//|/\*.*?(?:\*/|$)|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|.")
+
+
 def _may_define(line: str, lang: str) -> bool:
     """A cheap test before the patterns."""
     if lang != "js":
@@ -131,6 +135,34 @@ def _may_define(line: str, lang: str) -> bool:
     return "=>" in line or "function" in line or ("(" in line and not line.endswith(";"))
 
 
+def _body_follows(lines: list[str], at: int, start: int) -> bool:
+    """Whether a body opens behind the brackets that open before ``start`` of a line, however many lines they take."""
+    depth, behind, block = 1, "", False
+    for n, line in enumerate(lines[at:]):
+        if block:
+            if "*/" not in line:
+                continue
+            line, block = line.split("*/", 1)[1], False
+        for m in _PIECE.finditer(line, start if n == 0 else 0):
+            piece = m[0]
+            if piece.startswith("//"):
+                break
+            if piece.startswith("/*"):
+                block = not piece.endswith("*/")
+            elif depth:
+                depth += (piece in "([{") - (piece in ")]}")
+            elif piece == "{":
+                return re.fullmatch(r"\s*(?::.*)?", behind, re.S) is not None
+            elif piece == ";":
+                return False
+            else:
+                behind += piece
+        behind += " "
+        if not depth and behind.strip() and not behind.lstrip().startswith(":"):
+            return False
+    return False
+
+
 def find_functions(content: str, lang: str) -> list[dict]:
     """Functions and methods of a piece of code: name, params, line, and the texts beside them."""
     lines = content.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
@@ -161,7 +193,7 @@ def find_functions(content: str, lang: str) -> list[dict]:
                 if m["name"] in _CONTROL:
                     continue
                 # a method, not a call: a body must open behind the brackets
-                if not line.rstrip().endswith("{") and not re.search(r"\)\s*(?::[^{;]*)?\{", " ".join(lines[i : i + 12])[len(m[0]) - 1 :].split(";")[0]):
+                if not line.rstrip().endswith("{") and not _body_follows(lines, i, m.start("args")):
                     continue
             args = next((m[g] for g in ("args", "args2", "args3") if g in m.groupdict() and m[g]), "")
             params = re.findall(rf"(?:^|,)\s*(?:mut\s+|\.\.\.|\*+|&\s*|[\\\w?|]+\s+(?=\$))*\$?({_ID})", args)

@@ -67,3 +67,9 @@ def test_operator_cases(spark):
     got = sorted((r["chunk_id"], r["symbol"], r["origin"]) for r in function_docs(df).collect())
     assert got == [("a", "Wait", "above"), ("f", "Wait", "docstring")]
     assert function_docs(df.limit(0)).count() == 0
+
+
+def test_methods_with_many_parameter_lines():
+    params = "".join(f"    part{i}: string, // the {i}th (of many\n" for i in range(30))
+    text = f"class A {{\n  build(\n{params}  ): Record<string, number> {{\n    return go(\n{params}    );\n  }}\n}}\n"
+    assert [f["name"] for f in find_functions(text, "js")] == ["build"]
