@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ _BOUNDARIES = (
     (1.0, re.compile(r"\s+")),
 )
 
+#: Two code points that make one: CR and LF, a sign and the mark, selector, tone,
+#: tag or joiner that follows it, what follows a joiner, two regional letters.
+_JOINED = regex.compile(r"\r\n|.[\p{M}\u200d\ufe0e\ufe0f\U0001f3fb-\U0001f3ff\U000e0020-\U000e007f]|\u200d.|[\U0001f1e6-\U0001f1ff]{2}", regex.S)
+
 
 def _best_cut(text: str, lo: int, hi: int, want: int) -> int:
     """The strongest boundary in [lo, hi], the nearer to ``want`` the better; ``want`` itself if there is none."""
@@ -27,14 +32,15 @@ def _best_cut(text: str, lo: int, hi: int, want: int) -> int:
         best, found = None, -1.0
         for m in pattern.finditer(text, lo, hi):
             p = m.end()
-            if lo <= p <= hi:
+            if lo <= p <= hi and text[p - 1 : p + 1] != "\r\n":
                 score = weight - 3.0 * abs(p - want) / span
                 if best is None or score > found:
                     best, found = p, score
         if best is not None:
             return best
-    while lo < want < hi and (text[want - 1 : want + 1] == "\r\n" or 0x300 <= ord(text[want]) <= 0x36F):
-        want += 1  # not between CR and LF, not before a combining mark
+    for at in (*range(want, lo, -1), *range(want, hi)):  # not inside a letter or sign of several code points
+        if not 0 < at < len(text) or not _JOINED.match(text, at - 1):
+            return at
     return want
 
 
@@ -98,8 +104,8 @@ def split_oversized(
 
     Defined cases: null and empty texts and texts within the limit give no
     rows; repeated ids give the pieces of one row, the latest by ``order_col``,
-    ties to the longest text, then the greatest; a null id counts as one id; a
-    text without any boundary is cut at exact sizes; missing or swapped lines
+    ties to the longest text, then the greatest; rows with a null id are told
+    apart by their content; a text without any boundary is cut at exact sizes; missing or swapped lines
     are repaired (``first_line``); other columns, whatever their names, are
     ignored; an empty table gives an empty result.
     """
@@ -114,7 +120,7 @@ def split_oversized(
         (F.col(end_line_col) if end_line_col else null).cast("int").alias("_e"),
         (F.col(order_col) if order_col else F.lit(0)).alias("_o"),
     )
-    one = big.groupBy("_id").agg(
+    one = big.groupBy("_id", F.when(F.col("_id").isNull(), F.sha2("_text", 256)).alias("_null")).agg(
         F.max_by(F.struct("_text", "_s", "_e"), F.struct("_o", F.length("_text"), "_text")).alias("r")
     )
     newlines = F.length("r._text") - F.length(F.replace("r._text", F.lit("\n"), F.lit("")))

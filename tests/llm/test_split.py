@@ -63,6 +63,8 @@ def test_operator_cases(spark):
             assert p["start_line"] == starts[key] + text[: p["char_start"]].count("\n")
             assert p["end_line"] == starts[key] + text[: p["char_end"]].rstrip("\n").count("\n") + (p["char_end"] == len(text))
     assert split_oversized(df.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, text + x, 1, 41, None, None, None) for x in "aab"], SCHEMA)  # one text twice
+    assert split_oversized(nulls, limit=200, overlap=20).where("piece_no = 0").count() == 2
     with pytest.raises(ValueError):
         split_oversized(df, limit=10, overlap=10)
 
@@ -72,3 +74,10 @@ def test_very_long_text(spark):
     out = split_oversized(spark.createDataFrame([("a", text)], "chunk_id string, content string"), start_line_col=None, end_line_col=None, order_col=None)
     r = out.orderBy("piece_no").collect()
     assert len(r) > 120 and r[-1]["char_end"] == len(text) and max(len(x["content"]) for x in r) <= 8000
+
+
+def test_signs_of_several_code_points_stay_whole():
+    for sign in ("e\u0301\u0323", "\U0001f469\u200d\U0001f4bb", "\U0001f44d\U0001f3fd", "\r\n", "\u0915\u094d\u0937"):
+        text = sign * 60
+        for a, b in check(text, 30, 6):
+            assert a % len(sign) == 0 and (b % len(sign) == 0 or b == len(text)), (sign, a, b)
