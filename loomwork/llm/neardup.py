@@ -70,12 +70,13 @@ def classes(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``members``: _id, _rep (the smallest id of the class), _size, _copy (the
     smallest id with the words in the same order), _copies.  ``reps``: _rep, _toks.
     """
+    bags = cut(bags)
     ids = cut(bags.groupBy("_id").agg(F.min(F.struct("_key", "_seq")).alias("_k")).select("_id", "_k.*"))
     firsts = ids.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_size"))
     texts = ids.groupBy("_key", "_seq").agg(F.min("_id").alias("_copy"), F.count("*").alias("_copies"))
     members = ids.join(texts, ["_key", "_seq"]).join(firsts, "_key").select("_id", "_rep", "_size", "_copy", "_copies")
     reps = bags.groupBy("_key").agg(F.first("_toks").alias("_toks")).join(firsts, "_key").select("_rep", "_toks")
-    return members, reps
+    return members, cut(reps)
 
 
 def frequency_sketch(reps: DataFrame) -> np.ndarray:
@@ -95,84 +96,83 @@ def frequency_sketch(reps: DataFrame) -> np.ndarray:
 
 
 def with_orders(reps: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
-    """Adds the size, the prefixes under both orders and the parity bitmaps to each class."""
+    """Adds the size, its bucket, the prefixes under the three orders and the parity bitmaps to each class."""
+    width = -np.log(t * 0.99)  # sizes of a pair lie in one bucket or in neighbours
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, alone, bits = [], [], [], [], []
+            sizes, first, at, second, third, bits = [], [], [], [], [], []
             for toks in batch.column("_toks"):
                 x = toks.values.to_numpy()
                 n = len(x)
                 lean = n - int(np.ceil(n * t - 1e-9)) + 1
                 df, side = sketch[x & (SKETCH - 1)], (x >> 40) & 1
-                o1 = np.lexsort((x, df, side))[:lean]
-                o2 = np.lexsort((x, df, 1 - side))[:lean]
+                o1 = np.lexsort((x, df))[:lean]
+                pos = np.flatnonzero(df[o1] > 1)  # a token of a single text is no key
                 sizes.append(n)
-                first.append(x[o1])
-                alone.append(df[o1] == 1)
-                second.append(x[o2])
+                first.append(x[o1[pos]])
+                at.append(pos.astype(np.int32))
+                second.append(x[np.lexsort((x, df, side))[:lean]].astype(np.int32))
+                third.append(x[np.lexsort((x, df, 1 - side))[:lean]].astype(np.int32))
                 parity = np.bincount((x >> 8) & 255, minlength=256) & 1
                 bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
             b = np.array(bits, dtype=np.int64).reshape(-1, 4)
+            n = np.array(sizes, dtype=np.int32)
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_rep"), batch.column("_toks"), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int64())),
-                 pa.array(alone, pa.list_(pa.bool_())), pa.array(second, pa.list_(pa.int64())), *[pa.array(b[:, q]) for q in range(4)]],
-                names=["_rep", "_toks", "_s", "_p1", "_alone", "_o2", "_b0", "_b1", "_b2", "_b3"],
+                [batch.column("_rep"), batch.column("_toks"), pa.array(n), pa.array(np.floor(np.log(np.maximum(n, 1)) / width).astype(np.int32)),
+                 pa.array(first, longs), pa.array(at, ints), pa.array(second, ints), pa.array(third, ints), *[pa.array(b[:, q]) for q in range(4)]],
+                names=["_rep", "_toks", "_s", "_w", "_p1", "_at", "_p2", "_p3", "_b0", "_b1", "_b2", "_b3"],
             )
 
     return reps.mapInArrow(
-        run, "_rep bigint, _toks array<bigint>, _s int, _p1 array<bigint>, _alone array<boolean>, _o2 array<bigint>, _b0 bigint, _b1 bigint, _b2 bigint, _b3 bigint"
+        run, "_rep bigint, _toks array<bigint>, _s int, _w int, _p1 array<bigint>, _at array<int>, _p2 array<int>, _p3 array<int>, _b0 bigint, _b1 bigint, _b2 bigint, _b3 bigint"
     )
 
 
-def similar_classes(reps: DataFrame, t: float, apart: DataFrame | None = None) -> DataFrame:
+def similar_classes(reps: DataFrame, t: float) -> DataFrame:
     """Pairs of classes whose multisets of words have a Jaccard of at least ``t``: _a < _b, similarity.
 
-    Two global orders of the tokens, both by rising frequency (of a sketch;
-    any fixed order is right, a good one is fast) inside their halves: the
-    first puts the tokens of one half of a hashed vocabulary before those of
-    the other, the second the other way round.  A pair can only reach ``t`` if
-    its prefixes of |x| - ceil(t |x|) + 1 tokens meet under each order.  The
-    first order's prefix is the join key, with bounds of length and position and
-    parity bitmaps of 256 bits, a lower bound of the tokens that differ; the
-    pairs left must meet under the second order too before their tokens are
-    compared.  All bounds are exact: no pair is lost.  A token in a single text
-    is no key.  With ``apart`` (_rep, _g) only pairs of different _g are given,
-    and a token met in one _g alone is no key either.
+    Three global orders of the tokens, all by rising frequency (of a sketch; any
+    fixed order is right, a good one is fast): the first of all tokens, the
+    second with one half of a hashed vocabulary before the other, the third the
+    other way round.  A pair can only reach ``t`` if its prefixes of
+    |x| - ceil(t |x|) + 1 tokens meet under each order.  The first order's
+    prefix, of the rarest tokens, is the join key, split by buckets of size,
+    with bounds of length and position and parity bitmaps of 256 bits, a lower
+    bound of the tokens that differ.  The pairs left are intersected with the
+    two other orders by their short prefixes, and only what meets there too is
+    joined with the tokens and compared.  All bounds are exact: no pair is lost.
+    A token in a single text is no key.
     """
-    reps = cut(reps)
-    ordered = with_orders(reps, frequency_sketch(reps), t)
-    posts = (
-        ordered.select("_rep", "_s", "_b0", "_b1", "_b2", "_b3", F.posexplode(F.arrays_zip("_p1", "_alone")).alias("_pos", "_x"))
-        .where(~F.col("_x._alone"))
-        .select(F.col("_x._p1").alias("_t"), F.col("_pos").cast("int"), "_rep", "_s", "_b0", "_b1", "_b2", "_b3")
+    ordered = cut(with_orders(reps, frequency_sketch(reps), t))
+    bits = ["_b0", "_b1", "_b2", "_b3"]
+    posts = ordered.select("_rep", "_s", "_w", *bits, F.explode(F.arrays_zip("_p1", "_at")).alias("_x")).select(
+        F.col("_x._p1").alias("_t"), F.col("_x._at").alias("_pos"), "_rep", "_s", "_w", *bits
     )
-    if apart is not None:
-        posts = cut(posts.join(apart, "_rep"))
-        posts = posts.join(posts.groupBy("_t").agg(F.min("_g").alias("_g0"), F.max("_g").alias("_g1")).where("_g0 < _g1").select("_t"), "_t", "left_semi")
-    a, b = posts.alias("a"), posts.alias("b")
+    # a is the smaller one; its larger partner is in the same bucket of sizes or in the next one
+    a, b = posts.withColumn("_w", F.explode(F.array(F.col("_w"), F.col("_w") + 1))).alias("a"), posts.alias("b")
     shared = F.ceil((F.col("a._s") + F.col("b._s")) * (t / (1 + t)) - 1e-9)
     rest = F.least(F.col("a._s") - F.col("a._pos"), F.col("b._s") - F.col("b._pos"))
-    differ = sum((F.bit_count(F.col(f"a._b{q}").bitwiseXOR(F.col(f"b._b{q}"))) for q in range(1, 4)), F.bit_count(F.col("a._b0").bitwiseXOR(F.col("b._b0"))))
+    differ = sum((F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in bits[1:]), F.bit_count(F.col("a._b0").bitwiseXOR(F.col("b._b0"))))
     close = (
-        (F.col("a._rep") < F.col("b._rep"))
-        & (F.least("a._s", "b._s") >= F.ceil(F.greatest("a._s", "b._s") * t - 1e-9))
+        ((F.col("a._s") < F.col("b._s")) | ((F.col("a._s") == F.col("b._s")) & (F.col("a._rep") < F.col("b._rep"))))
+        & (F.col("a._s") >= F.ceil(F.col("b._s") * t - 1e-9))
         & (rest + F.least("a._pos", "b._pos") >= shared)
         & (differ <= F.col("a._s") + F.col("b._s") - 2 * shared)
     )
-    if apart is not None:
-        close &= F.col("a._g") != F.col("b._g")
-    pairs = a.join(b, (F.col("a._t") == F.col("b._t")) & close).select(F.col("a._rep").alias("_a"), F.col("b._rep").alias("_b")).distinct()
-    pairs = cut(pairs)
-    asked = pairs.select(F.explode(F.array("_a", "_b")).alias("_rep")).distinct()
-    sets = ordered.select("_rep", "_toks", "_o2").join(asked, "_rep", "left_semi")
-    left = sets.select(F.col("_rep").alias("_a"), F.col("_toks").alias("_sa"), F.col("_o2").alias("_oa"))
-    right = sets.select(F.col("_rep").alias("_b"), F.col("_toks").alias("_sb"), F.col("_o2").alias("_ob"))
-    both = pairs.join(left, "_a").join(right, "_b").where(F.arrays_overlap("_oa", "_ob"))
-    common = F.size(F.array_intersect("_sa", "_sb"))
+    same = (F.col("a._t") == F.col("b._t")) & (F.col("a._w") == F.col("b._w"))
+    pairs = a.join(b, same & close).select(F.least("a._rep", "b._rep").alias("_a"), F.greatest("a._rep", "b._rep").alias("_b")).distinct()
+    short = ordered.select("_rep", "_p2", "_p3")
+    left = short.select(F.col("_rep").alias("_a"), F.col("_p2").alias("_a2"), F.col("_p3").alias("_a3"))
+    right = short.select(F.col("_rep").alias("_b"), F.col("_p2").alias("_b2"), F.col("_p3").alias("_b3"))
+    met = cut(pairs.join(left, "_a").join(right, "_b").where(F.arrays_overlap("_a2", "_b2") & F.arrays_overlap("_a3", "_b3")).select("_a", "_b"))
+    asked = met.select(F.explode(F.array("_a", "_b")).alias("_rep")).distinct()
+    sets = ordered.select("_rep", "_toks").join(asked, "_rep", "left_semi")
+    both = met.join(sets.select(F.col("_rep").alias("_a"), F.col("_toks").alias("_sa")), "_a").join(sets.select(F.col("_rep").alias("_b"), F.col("_toks").alias("_sb")), "_b")
     either: Column = F.size("_sa") + F.size("_sb") - F.col("_common")
     return (
-        both.withColumn("_common", common)
+        both.withColumn("_common", F.size(F.array_intersect("_sa", "_sb")))
         .where(F.col("_common") >= F.lit(t - 1e-12) * either)
         .select("_a", "_b", (F.col("_common") / either).alias("similarity"))
     )
@@ -220,14 +220,14 @@ def near_duplicate_pairs(links: DataFrame, members: DataFrame, star_from: int =
     return inside.unionByName(star).unionByName(across)
 
 
-def duplicate_groups(links: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
+def duplicate_groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """Connected groups of near duplicates: id, group_id (the smallest id of the group), n_links.
 
-    Large-star/small-star rounds over the class links; each round is a shuffle
-    of the links and the lineage is cut by a checkpoint.
+    Large-star/small-star rounds over the class links until nothing changes;
+    each round is a shuffle of the links and the lineage is cut by a checkpoint.
     """
     edges = cut(links.select(F.col("_a").alias("u"), F.col("_b").alias("v")))
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
