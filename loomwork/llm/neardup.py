@@ -70,13 +70,12 @@ def classes(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``members``: _id, _rep (the smallest id of the class), _size, _copy (the
     smallest id with the words in the same order), _copies.  ``reps``: _rep, _toks.
     """
-    bags = cut(bags)
     ids = cut(bags.groupBy("_id").agg(F.min(F.struct("_key", "_seq")).alias("_k")).select("_id", "_k.*"))
     firsts = ids.groupBy("_key").agg(F.min("_id").alias("_rep"), F.count("*").alias("_size"))
     texts = ids.groupBy("_key", "_seq").agg(F.min("_id").alias("_copy"), F.count("*").alias("_copies"))
     members = ids.join(texts, ["_key", "_seq"]).join(firsts, "_key").select("_id", "_rep", "_size", "_copy", "_copies")
     reps = bags.groupBy("_key").agg(F.first("_toks").alias("_toks")).join(firsts, "_key").select("_rep", "_toks")
-    return members, cut(reps)
+    return members, reps
 
 
 def frequency_sketch(reps: DataFrame) -> np.ndarray:
@@ -96,9 +95,7 @@ def frequency_sketch(reps: DataFrame) -> np.ndarray:
 
 
 def with_orders(reps: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
-    """Adds the size, its bucket, the prefixes under the three orders and the parity bitmaps to each class."""
-    width = -np.log(t * 0.99)  # sizes of a pair lie in one bucket or in neighbours
-
+    """Adds the size, the prefixes under the three orders and the parity bitmaps to each class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, first, at, second, third, bits = [], [], [], [], [], []
@@ -120,17 +117,17 @@ def with_orders(reps: DataFrame, sketch: np.ndarray, t: float) -> DataFrame:
             n = np.array(sizes, dtype=np.int32)
             longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_rep"), batch.column("_toks"), pa.array(n), pa.array(np.floor(np.log(np.maximum(n, 1)) / width).astype(np.int32)),
+                [batch.column("_rep"), batch.column("_toks"), pa.array(n),
                  pa.array(first, longs), pa.array(at, ints), pa.array(second, ints), pa.array(third, ints), *[pa.array(b[:, q]) for q in range(4)]],
-                names=["_rep", "_toks", "_s", "_w", "_p1", "_at", "_p2", "_p3", "_b0", "_b1", "_b2", "_b3"],
+                names=["_rep", "_toks", "_s", "_p1", "_at", "_p2", "_p3", "_b0", "_b1", "_b2", "_b3"],
             )
 
     return reps.mapInArrow(
-        run, "_rep bigint, _toks array<bigint>, _s int, _w int, _p1 array<bigint>, _at array<int>, _p2 array<int>, _p3 array<int>, _b0 bigint, _b1 bigint, _b2 bigint, _b3 bigint"
+        run, "_rep bigint, _toks array<bigint>, _s int, _p1 array<bigint>, _at array<int>, _p2 array<int>, _p3 array<int>, _b0 bigint, _b1 bigint, _b2 bigint, _b3 bigint"
     )
 
 
-def similar_classes(reps: DataFrame, t: float) -> DataFrame:
+def similar_classes(reps: DataFrame, t: float, sketch: np.ndarray | None = None) -> DataFrame:
     """Pairs of classes whose multisets of words have a Jaccard of at least ``t``: _a < _b, similarity.
 
     Three global orders of the tokens, all by rising frequency (of a sketch; any
@@ -138,20 +135,19 @@ def similar_classes(reps: DataFrame, t: float) -> DataFrame:
     second with one half of a hashed vocabulary before the other, the third the
     other way round.  A pair can only reach ``t`` if its prefixes of
     |x| - ceil(t |x|) + 1 tokens meet under each order.  The first order's
-    prefix, of the rarest tokens, is the join key, split by buckets of size,
-    with bounds of length and position and parity bitmaps of 256 bits, a lower
+    prefix, of the rarest tokens, is the join key, with bounds of length and
+    position and parity bitmaps of 256 bits, a lower
     bound of the tokens that differ.  The pairs left are intersected with the
     two other orders by their short prefixes, and only what meets there too is
     joined with the tokens and compared.  All bounds are exact: no pair is lost.
     A token in a single text is no key.
     """
-    ordered = cut(with_orders(reps, frequency_sketch(reps), t))
+    ordered = cut(with_orders(reps, frequency_sketch(reps) if sketch is None else sketch, t))
     bits = ["_b0", "_b1", "_b2", "_b3"]
-    posts = ordered.select("_rep", "_s", "_w", *bits, F.explode(F.arrays_zip("_p1", "_at")).alias("_x")).select(
-        F.col("_x._p1").alias("_t"), F.col("_x._at").alias("_pos"), "_rep", "_s", "_w", *bits
+    posts = ordered.select("_rep", "_s", *bits, F.explode(F.arrays_zip("_p1", "_at")).alias("_x")).select(
+        F.col("_x._p1").alias("_t"), F.col("_x._at").alias("_pos"), "_rep", "_s", *bits
     )
-    # a is the smaller one; its larger partner is in the same bucket of sizes or in the next one
-    a, b = posts.withColumn("_w", F.explode(F.array(F.col("_w"), F.col("_w") + 1))).alias("a"), posts.alias("b")
+    a, b = posts.alias("a"), posts.alias("b")  # one exchange serves both; a is the smaller one
     shared = F.ceil((F.col("a._s") + F.col("b._s")) * (t / (1 + t)) - 1e-9)
     rest = F.least(F.col("a._s") - F.col("a._pos"), F.col("b._s") - F.col("b._pos"))
     differ = sum((F.bit_count(F.col(f"a.{q}").bitwiseXOR(F.col(f"b.{q}"))) for q in bits[1:]), F.bit_count(F.col("a._b0").bitwiseXOR(F.col("b._b0"))))
@@ -161,8 +157,7 @@ def similar_classes(reps: DataFrame, t: float) -> DataFrame:
         & (rest + F.least("a._pos", "b._pos") >= shared)
         & (differ <= F.col("a._s") + F.col("b._s") - 2 * shared)
     )
-    same = (F.col("a._t") == F.col("b._t")) & (F.col("a._w") == F.col("b._w"))
-    pairs = a.join(b, same & close).select(F.least("a._rep", "b._rep").alias("_a"), F.greatest("a._rep", "b._rep").alias("_b")).distinct()
+    pairs = a.join(b, (F.col("a._t") == F.col("b._t")) & close).select(F.least("a._rep", "b._rep").alias("_a"), F.greatest("a._rep", "b._rep").alias("_b")).distinct()
     short = ordered.select("_rep", "_p2", "_p3")
     left = short.select(F.col("_rep").alias("_a"), F.col("_p2").alias("_a2"), F.col("_p3").alias("_a3"))
     right = short.select(F.col("_rep").alias("_b"), F.col("_p2").alias("_b2"), F.col("_p3").alias("_b3"))
@@ -194,8 +189,10 @@ def near_duplicates(
     long texts are compared whole; other columns are ignored; an empty table
     gives empty results.
     """
-    members, reps = classes(word_bags(df, id_col, text_col, min_words))
-    return similar_classes(reps, t), members
+    bags = cut(word_bags(df, id_col, text_col, min_words))
+    members, reps = classes(bags)
+    # the frequencies of all rows order the tokens as well as those of the classes do
+    return similar_classes(reps, t, frequency_sketch(bags)), members
 
 
 def near_duplicate_pairs(links: DataFrame, members: DataFrame, star_from: int = STAR_FROM) -> DataFrame:
