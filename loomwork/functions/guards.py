@@ -11,27 +11,44 @@ from pyspark.sql import functions as F
 MOST_CHARS, MOST_REPEAT, MOST_ALTERNATIVES, MOST_NESTING = 1000, 30, 20, 5
 
 
+#: A pattern's parts: escapes, character classes, groups' openings, quantifiers, single characters.
+_PART = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?:\?(?:P?[<=!:#>]|[a-zA-Z-]+[:)]))?|\{\d*,?\d*\}|.", re.S)
+
+
+def measure_regex(pattern: str) -> dict[str, int]:
+    """Quantifiers, alternatives, depth and repeated groups that hold a repetition, in one walk over a pattern's parts; escapes and classes count for nothing."""
+    out = {"repeats": 0, "alternatives": 0, "depth": 0, "nested": 0}
+    groups, last = [False], False  # whether each open group, and the part before, holds a repetition
+    for part in _PART.findall(pattern):
+        if part[0] == "(" and not part.endswith(")"):
+            groups.append(False)
+            out["depth"] = max(out["depth"], len(groups) - 1)
+        elif part == ")" and len(groups) > 1:
+            last = groups.pop()
+            groups[-1] |= last
+            continue
+        elif part in "*+?" or part[0] == "{" and len(part) > 2:
+            out["repeats"] += 1
+            out["nested"] += last
+            groups[-1] = True
+        elif part == "|":
+            out["alternatives"] += 1
+        last = False
+    return out
+
+
 def check_regex(pattern: str) -> str | None:
     """Why a pattern is refused, or None."""
-    if len(pattern.encode()) > MOST_CHARS:
-        return "too long"
-    if re.search(r"\([^)]*[+*?][^)]*\)[+*?]", pattern):
-        return "nested quantifier"
-    if sum(map(pattern.count, "+*?{")) > MOST_REPEAT:
-        return "too many repetitions"
-    if pattern.count("|") > MOST_ALTERNATIVES:
-        return "too many alternatives"
-    depth = most = 0
-    for c in pattern:
-        depth += (c == "(") - (c == ")")
-        most = max(most, depth)
-    if most > MOST_NESTING:
-        return "nested too deeply"
     try:
         re.compile(pattern)
     except re.error:
         return "not a regular expression"
-    return None
+    found = measure_regex(pattern)
+    reasons = {
+        "too long": len(pattern.encode()) > MOST_CHARS, "nested quantifier": found["nested"] > 0, "nested too deeply": found["depth"] > MOST_NESTING,
+        "too many alternatives": found["alternatives"] > MOST_ALTERNATIVES, "too many repetitions": found["repeats"] > MOST_REPEAT,
+    }
+    return next((why for why, hit in reasons.items() if hit), None)
 
 
 def clamp(value: int, low: int, high: int) -> int:
@@ -61,6 +78,6 @@ def is_safe_path(path: Column, depth: int = 20) -> Column:
 
 
 def safe_filename(name: Column) -> Column:
-    """A file name without separators, null characters and leading dots, of at most 255 characters; ``unnamed`` if nothing is left."""
-    out = F.regexp_replace(F.replace(F.translate(name, "/\\", "__"), F.lit("\0"), F.lit("")), r"^\.+", "")
-    return F.when(F.length(out) > 0, F.substring(out, 1, 255)).otherwise(F.lit("unnamed"))
+    """Up to 255 characters of a name behind its leading dots, separators as ``_``, null characters left out; ``unnamed`` if none are left."""
+    kept = F.regexp_extract(F.translate(name, "/\\\0", "__"), r"(?s)^\.*(.{1,255})", 1)
+    return F.coalesce(F.nullif(F.regexp_replace(kept, r"^\.+$", ""), F.lit("")), F.lit("unnamed"))

@@ -90,8 +90,13 @@ def glob_regex(pattern: str) -> str:
 
 
 def fnv32a(text: Column) -> Column:
-    """32-bit FNV-1a of the text's UTF-8 bytes, as bigint."""
-    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.substring(F.hex(F.encode(text, "UTF-8")), i * 2 - 1, 2), 16, 10).cast("bigint"))
+    """32-bit FNV-1a of the text's UTF-8 bytes, as bigint.
+
+    Pieces of 64 characters are taken to hex one by one, so that the work grows
+    with the length of the text and not with its square.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(.{1,64})"), F.lit(1))
+    pairs = F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(F.hex(F.encode(p, "UTF-8")), F.lit("(..)"), F.lit(1))))
     start = F.lit(2166136261).cast("bigint")
-    step = lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.when(F.length(text) > 0, F.aggregate(codes, start, step)).otherwise(start)
+    step = lambda h, c: (h.bitwiseXOR(F.conv(c, 16, 10).cast("bigint")) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(text.isNotNull(), F.aggregate(pairs, start, step))

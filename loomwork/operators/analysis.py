@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Syntax nodes that define something callable or usable (fixed values).
@@ -15,14 +16,27 @@ ISSUES = {k: rf"(?i){k}[:\s]+(.*)" for k in ("TODO", "FIXME", "HACK", "DEPRECATE
 
 
 def is_test(path: Column) -> Column:
-    return path.rlike(r"_test\.(go|py|ts|tsx|js|php|rs)$") | F.contains(path, F.lit("/test/")) | F.contains(path, F.lit("/tests/")) | path.startswith("test/") | path.startswith("tests/")
+    """Go test files and what lies below a folder ``test`` or ``tests`` that is not the first one."""
+    return path.endswith("_test.go") | F.contains(path, F.lit("/test/")) | F.contains(path, F.lit("/tests/"))
 
 
-def definitions(chunks: DataFrame, excluded: list[str] | None = None) -> DataFrame:
-    """project_id, rel_path, symbol of what non-test chunks define; entry points and test functions left out."""
-    rows = chunks.where(F.col("type").isin(DEFINING) & ~is_test(F.col("rel_path")))
-    for part in excluded or []:
-        rows = rows.where(~F.contains("rel_path", F.lit(part)))
+#: Parts of paths whose definitions are entry points (fixed values).
+ENTRY_PATHS = ["/api", "/routes", "/cmd", "main.go", "index.ts"]
+
+
+def definitions(chunks: DataFrame, excluded: list[str] | None = None, library: bool = False, below: str = "") -> DataFrame:
+    """project_id, rel_path, symbol of what non-test chunks define; entry points and test functions left out.
+
+    ``excluded``: parts of paths that are left out.  A ``library`` exports what
+    is not internal, so only its internal and private files count, and no path
+    is excluded.  ``below``: only paths that begin so.
+    """
+    path = F.col("rel_path")
+    rows = chunks.where(F.col("type").isin(DEFINING) & ~is_test(path) & path.startswith(below))
+    if library:
+        rows = rows.where(F.contains(path, F.lit("internal/")) | F.contains(path, F.lit("private/")) | path.rlike(r"(^|/)_[^/]*$"))
+    for part in [] if library else excluded or []:
+        rows = rows.where(~F.contains(path, F.lit(part)))
     named = rows.select("project_id", "rel_path", F.explode("symbols").alias("symbol")).where(F.length("symbol") > 0)
     return named.where(~F.col("symbol").rlike("^(main|NewServer|Test.*|Benchmark.*|Example.*)$")).distinct()
 
@@ -45,9 +59,9 @@ def _unused(defined: DataFrame, used: DataFrame) -> DataFrame:
     return left.join(u.select("project_id", F.col("name").alias("_short")), ["project_id", "_short"], "left_anti").drop("_short")
 
 
-def dead_symbols(chunks: DataFrame, excluded: list[str] | None = None) -> DataFrame:
+def dead_symbols(chunks: DataFrame, excluded: list[str] | None = None, library: bool = False, below: str = "") -> DataFrame:
     """Defined outside tests and used nowhere outside them."""
-    return _unused(definitions(chunks, excluded), usages(chunks, tests=False))
+    return _unused(definitions(chunks, excluded, library, below), usages(chunks.where(F.col("rel_path").startswith(below)) if below else chunks, tests=False))
 
 
 def missing_tests(chunks: DataFrame) -> DataFrame:
@@ -85,16 +99,23 @@ def edges(relations: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def implementations(required: DataFrame, offered: DataFrame) -> DataFrame:
-    """Relational division: (interface, type) where the type offers every method the interface requires.
+    """Relational division: (project_id, interface, type) where the type offers every method the interface requires.
 
-    ``required``: interface, method.  ``offered``: type, method.  Interfaces
-    without methods match nothing.  A join on the method and a count; no pairs
-    of interfaces and types are formed that share nothing.
+    ``required``: project_id, interface, method.  ``offered``: project_id, type,
+    method.  Interfaces without methods match nothing.  An interface meets only
+    the types of its project that offer its rarest method, which are verified
+    on the other methods, so that common method names pair nothing.
     """
     r, o = required.distinct(), offered.distinct()
-    need = r.groupBy("interface").agg(F.count("*").alias("_need"))
-    have = r.join(o, "method").groupBy("interface", "type").agg(F.count("*").alias("_have"))
-    return have.join(need, "interface").where("_have = _need").select("interface", "type", F.col("_need").alias("n_methods"))
+    rare = o.groupBy("project_id", "method").agg(F.count("*").alias("_f"))
+    need = (
+        r.join(rare, ["project_id", "method"], "left").groupBy("project_id", "interface")
+        .agg(F.count("*").alias("_need"), F.min_by("method", F.struct(F.coalesce("_f", F.lit(0)), "method")).alias("method"))
+    )
+    met = need.join(o, ["project_id", "method"]).select("project_id", "interface", "type", "_need")
+    have = met.join(r, ["project_id", "interface"]).join(o, ["project_id", "type", "method"], "left_semi")
+    counted = have.groupBy("project_id", "interface", "type", "_need").agg(F.count("*").alias("_have"))
+    return counted.where("_have = _need").select("project_id", "interface", "type", F.col("_need").alias("n_methods"))
 
 
 def field_usage(chunks: DataFrame, field: str) -> DataFrame:
@@ -125,6 +146,14 @@ def grep(df: DataFrame, text_col: str, keep: list[str], match: Column, whole: Co
     return lines.where(match).select(*keep, "line_no", F.trim("line").alias("line"))
 
 
+def first_matches(found: DataFrame, order: list[str], limit: int = 100) -> DataFrame:
+    """The first matches in order, and whether there were more: limit_reached."""
+    some = found.orderBy(*order).limit(limit + 1)
+    n = F.row_number().over(W.orderBy(*order))  # of at most limit + 1 rows
+    counted = some.withColumn("_n", n).withColumn("limit_reached", F.max("_n").over(W.partitionBy()) > limit)
+    return counted.where(F.col("_n") <= limit).drop("_n")
+
+
 def risk(n: Column) -> Column:
     return F.when(n > 10, "High").when(n > 3, "Medium").otherwise("Low")
 
@@ -148,32 +177,45 @@ def distill(chunks: DataFrame) -> DataFrame:
 
 def top_names(rows: DataFrame, n: int) -> DataFrame:
     """The first n distinct names of each package, joined; a ranking that keeps n rows a group map-side."""
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("project_id", "package").orderBy("name")
     few = rows.select("project_id", "package", "name").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     return few.groupBy("project_id", "package").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
 
 
-def resolve_aliases(modules: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Module paths with their alias replaced: the longest matching prefix, then the first in order.
+def _prefix_join(rows: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows with the names that their text begins with.
 
-    ``aliases`` (alias, target) is a small table of a project's settings.
+    The lengths that names have, a few numbers, cut the prefixes that are
+    joined by equality; rows and names are never paired one by one.
     """
-    m = modules.select("module").distinct()
-    hit = m.join(F.broadcast(aliases), m["module"].startswith(aliases["alias"]))
-    best = hit.groupBy("module").agg(F.max_by(F.struct("alias", "target"), F.struct(F.length("alias"), "alias")).alias("b"))
+    lengths = names.agg(F.collect_set(F.length(name)).alias("_ls"))
+    cuts = rows.crossJoin(F.broadcast(lengths)).withColumn("_l", F.explode("_ls")).where(F.col("_l").between(1, F.length(text)))
+    return cuts.withColumn(name, F.substring(F.col(text), F.lit(1), F.col("_l"))).drop("_l", "_ls").join(names, name)
+
+
+def resolve_aliases(modules: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Module paths with their alias replaced: the longest matching prefix, then the first in order."""
+    m = modules.select("module").where("module IS NOT NULL").distinct()
+    best = _prefix_join(m, "module", aliases.select("alias", "target").distinct(), "alias").groupBy("module").agg(F.max_by(F.struct("alias", "target"), F.struct(F.length("alias"), "alias")).alias("b"))
     done = best.select("module", F.concat(F.col("b.target"), F.substring(F.col("module"), F.length("b.alias") + 1, F.lit(1 << 30))).alias("resolved"))
     return m.join(done, "module", "left").select("module", F.coalesce("resolved", "module").alias("resolved"))
 
 
 def forbidden(rules: DataFrame, deps: DataFrame) -> DataFrame:
-    """Rules that forbid a dependency by name, found by the words behind ``no`` and ``forbidden:``.
+    """Rules that forbid a dependency of their project: they hold ``no`` or ``forbidden:`` and then its name, in any case.
 
-    The rule's candidate names are extracted and joined, so rules and
-    dependencies are never paired one by one.
+    ``rules``: project_id, rule and others.  ``deps``: project_id, dep.  What
+    follows the marks is cut to the lengths names have and joined.
     """
-    text = F.lower(F.col("rule"))
-    names = F.concat(F.regexp_extract_all(text, F.lit(r"\bno ([\w@/.\-]+)"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"forbidden: ([\w@/.\-]+)"), F.lit(1)))
-    named = rules.select("*", F.explode(F.array_distinct(F.transform(names, lambda n: F.regexp_replace(n, r"[.\-]+$", "")))).alias("dep"))
-    return named.join(deps.select(F.lower("dep").alias("dep")).distinct(), "dep", "left_semi")
+    marks = F.regexp_extract_all(F.lower("rule"), F.lit(r"(?=(?:no |forbidden: )([^\n]{1,200}))"), F.lit(1))
+    behind = rules.withColumn("_behind", F.explode(F.array_distinct(marks)))
+    names = deps.where(F.length("dep").between(1, 200)).select(F.col("project_id").alias("_p"), F.lower("dep").alias("dep")).distinct()
+    return _prefix_join(behind, "_behind", names, "dep").where("_p = project_id").drop("_p", "_behind").distinct()
+
+
+def impact_radius(chunks: DataFrame, symbol: str) -> DataFrame:
+    """Chunks that call or relate to a symbol, with the chunk that defines it in their project, if any: name, chunk_id, rel_path, definition."""
+    names = F.concat(F.coalesce("calls", F.array().cast("array<string>")), F.coalesce("relationships", F.array().cast("array<string>")))
+    users = chunks.where(F.array_contains(names, symbol)).select("project_id", "chunk_id", "rel_path")
+    defs = chunks.where(F.array_contains("symbols", symbol)).groupBy("project_id").agg(F.min("chunk_id").alias("definition"))
+    return users.join(defs, "project_id", "left").select(F.lit(symbol).alias("name"), "chunk_id", "rel_path", "definition").distinct()

@@ -93,6 +93,31 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, k1: float = K1,
     return _counted(df, id_col, text_col, distinct).select(id_col, _score([distinct.index(t) for t in terms], k1, b).alias("score"))
 
 
+def lengths_of(stored: DataFrame, id_col: str) -> DataFrame:
+    """Document lengths from stored postings."""
+    return stored.groupBy(id_col).agg(F.sum("tf").alias("dl"))
+
+
+def bm25_stored(stored: DataFrame, lengths: DataFrame, id_col: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """The same scores as ``bm25`` from stored postings (term, id, tf) and lengths (id, dl).
+
+    Only the postings of the query's terms are read, which the store prunes if
+    it is sorted or bucketed by term; no text is cut into tokens again.
+    """
+    terms = query_terms(query)
+    times = {t: terms.count(t) for t in terms}
+    if not times:
+        return lengths.select(id_col, F.lit(0.0).alias("score")).limit(0)
+    weight = F.create_map(*[F.lit(x) for t, n in times.items() for x in (t, n)])
+    hits = stored.where(F.col("term").isin(list(times)))
+    found = hits.groupBy("term").agg(F.count("*").alias("_df"))  # one row a query term
+    stats = lengths.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"))
+    rows = hits.join(F.broadcast(found), "term").join(lengths, id_col).join(F.broadcast(stats))
+    idf = F.ln((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1)
+    each = weight[F.col("term")] * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("_avg")))
+    return rows.groupBy(id_col).agg(F.round(F.sum(each), 6).alias("score"))
+
+
 def top(scored: DataFrame, id_col: str, k: int, score_col: str = "score") -> DataFrame:
     """The k best; ties go to the smaller id.  k of 0 or less gives nothing."""
     return scored.orderBy(F.desc(score_col), F.asc(id_col)).limit(max(0, k))

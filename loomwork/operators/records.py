@@ -34,6 +34,11 @@ def delete_prefix(df: DataFrame, path: Column, prefix: str, also: Column | None
     return df.where(~F.coalesce(gone, F.lit(False)))
 
 
+def clear_project(df: DataFrame, project: str) -> DataFrame:
+    """Everything but the records of a project; those without one stay."""
+    return df.where(meta(F.col("metadata"), "project_id") != project)
+
+
 def replace_by_path(store: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows of the paths that come anew are dropped before the new ones are added."""
     return store.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)

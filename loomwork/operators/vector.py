@@ -7,10 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut
-
 
 def usable(vector: Column, dim: int) -> Column:
     """Of the right width, all entries finite, not all zero."""
@@ -60,47 +59,64 @@ def search(df: DataFrame, id_col: str, vec_col: str, query: list[float], k: int,
     return best.orderBy(F.desc("boosted"), F.asc(id_col))
 
 
-def nearest_of_queries(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, dim: int, k: int, block: int = 1024) -> DataFrame:
+def nearest_of_queries(rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, dim: int, k: int, part_rows: int = 50_000) -> DataFrame:
     """For each query its k nearest rows, exactly: query, neighbor, similarity.
 
-    Queries go in blocks of ``block`` vectors, the only data that every task
-    gets; a task multiplies its rows with a block batch by batch and passes on
-    the k best of each query, which are merged after one small shuffle.
+    The rows are hashed into parts of about ``part_rows`` and every query is
+    sent to every part, as what is asked is a small share of the rows.  A task
+    holds one part as a matrix, in the order of a sort, and streams the queries
+    past it in Arrow batches; the k best of each part are merged after one
+    small shuffle.  Nothing passes the driver.
     """
     spark = rows.sparkSession
-    good = rows.where(usable(F.col(vec_col), dim)).select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<float>").alias("_v"))
-    asked = cut(queries.where(usable(F.col(vec_col), dim)).select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<float>").alias("_v")))
-    count = asked.count()
-    blocks = max(1, -(-count // block))
-    out = spark.createDataFrame([], "query bigint, neighbor bigint, similarity double")
-    for b in range(blocks if count else 0):
-        part = asked.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b).toArrow()
-        if not part.num_rows:
-            continue
-        ids = part.column("_id").to_numpy()
-        q = part.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
+    v = F.col(vec_col).cast("array<float>")
+    good = rows.where(usable(F.col(vec_col), dim)).select(F.col(id_col).cast("bigint").alias("_id"), v.alias("_v"))
+    asked = queries.where(usable(F.col(vec_col), dim)).select(F.col(id_col).cast("bigint").alias("_id"), v.alias("_v"))
+    parts = max(1, -(-good.count() // part_rows))
+    held = good.select(F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int").alias("_part"), F.lit(False).alias("_asks"), "_id", "_v")
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), F.lit(True).alias("_asks"), "_id", "_v")
+
+    def unit(column: pa.Array) -> np.ndarray:
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, entries, matrix = None, [], None
+        for batch in batches:
+            part, asks = batch.column("_part").to_numpy(), batch.column("_asks").to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero((part[1:] != part[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(part)]):
+                if hi <= lo:
+                    continue
+                if part[lo] != at:
+                    at, entries, matrix = part[lo], [], None
+                seg = batch.slice(lo, hi - lo)
+                if not asks[lo]:
+                    entries.append((seg.column("_id").to_numpy(), unit(seg.column("_v"))))
+                    continue
+                if matrix is None and entries:
+                    ids, x = np.concatenate([e[0] for e in entries]), np.concatenate([e[1] for e in entries])
+                    order = np.argsort(ids, kind="stable")  # equal similarities stay in the order of ids
+                    matrix = ids[order], x[order]
+                if matrix is None:
                     continue
-                mine = batch.column("_id").to_numpy()
-                x = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                sims = np.round(q @ x.T, 6)
-                sims[ids[:, None] == mine[None, :]] = -np.inf
-                m = min(k, len(mine))
-                order = np.lexsort((np.broadcast_to(mine, sims.shape), -sims), axis=1)[:, :m]
-                s = np.take_along_axis(sims, order, 1).ravel()
-                keep = s > -np.inf
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, m)[keep]), pa.array(mine[order].ravel()[keep]), pa.array(s[keep])], names=["query", "neighbor", "similarity"]
-                )
-
-        found = good.mapInArrow(run, "query bigint, neighbor bigint, similarity double")
-        ranked = found.groupBy("query").agg(
-            F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), F.col("neighbor").alias("i")))), 1, k).alias("b")
-        )
-        out = out.unionByName(ranked.select("query", F.explode("b").alias("n")).select("query", F.col("n.i").alias("neighbor"), (-F.col("n.d")).alias("similarity")))
-    return out
+                ids, x = matrix
+                mine, q = seg.column("_id").to_numpy(), unit(seg.column("_v"))
+                for a in range(0, len(q), 256):
+                    sims = np.round(q[a : a + 256] @ x.T, 6)
+                    sims[mine[a : a + 256, None] == ids[None, :]] = -np.inf
+                    m = min(k, len(ids))
+                    # all that reach the k-th similarity, then the first k by id
+                    least = -np.partition(-sims, m - 1, axis=1)[:, m - 1]
+                    r, c = np.nonzero(sims >= least[:, None])
+                    order = np.lexsort((ids[c], -sims[r, c], r))
+                    r, c = r[order], c[order]
+                    nth = np.arange(len(r)) - np.searchsorted(r, r)
+                    keep = (nth < m) & (sims[r, c] > -np.inf)
+                    r, c = r[keep], c[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[a + r]), pa.array(ids[c]), pa.array(sims[r, c])], names=["query", "neighbor", "similarity"])
+
+    width = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = held.unionByName(sent).repartition(width, "_part").sortWithinPartitions("_part", "_asks").mapInArrow(run, "query bigint, neighbor bigint, similarity double")
+    first = W.partitionBy("query").orderBy(F.desc("similarity"), F.asc("neighbor"))
+    return found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).select("query", "neighbor", "similarity")

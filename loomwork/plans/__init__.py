@@ -1,3 +1,3 @@
 """Registered queries; importing the modules registers them."""
 
-from . import catalogue, code, more, retrieval  # noqa: F401
+from . import catalogue, code, lookups, more, retrieval  # noqa: F401

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,8 @@ from ..functions import guards
 from ..functions.text import glob_regex, newline_count
 from ..operators import analysis, chunking, incremental, kpi, lexical
 from ..operators.records import delete_prefix, latest, meta, upsert
-from ..session import table
+from ..session import scratch, table
+from ..sources.manifests import MANIFESTS, joined_pieces, manifest_packages
 from ..sources.tree import allowed, path_tree
 from ..streaming import events as stream
 from . import sql
@@ -265,7 +264,7 @@ def directory_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return path_tree(rows, "rel_path", ["project_id"], 3)
 
 
-_TEST = "(regexp_matches(rel_path, '_test\\.(go|py|ts|tsx|js|php|rs)$') OR contains(rel_path, '/test/') OR contains(rel_path, '/tests/') OR starts_with(rel_path, 'test/') OR starts_with(rel_path, 'tests/'))"
+_TEST = "(ends_with(rel_path, '_test.go') OR contains(rel_path, '/test/') OR contains(rel_path, '/tests/'))"
 _KINDS = ", ".join(f"'{k}'" for k in analysis.DEFINING)
 _DEFS = (
     f"d0 AS (SELECT DISTINCT project_id, rel_path, unnest(symbols) AS symbol FROM chunks WHERE type IN ({_KINDS}) AND NOT {_TEST}), "
@@ -308,15 +307,19 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_REL}, n AS (SELECT *, {_PKG} AS package FROM r WHERE NOT regexp_matches(module, '^[./\\\\]')), "
-    "m AS (SELECT project_id, package FROM n WHERE project_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT rel_path) > 1) "
+    "f AS (SELECT project_id, string_split(rel_path, '/')[-1] AS name, string_agg(p.content, '' ORDER BY try_cast(regexp_extract(p.id, '(\\d+)$', 1) AS INT)) AS text FROM scan_results, unnest(records) AS u(p) "
+    "WHERE string_split(rel_path, '/')[-1] IN ('package.json', 'go.mod', 'requirements.txt') GROUP BY result_id, 1, 2), "
+    "l AS (SELECT project_id, name, trim(unnest(string_split(replace(text, chr(13), ''), chr(10))), ' ' || chr(9)) AS line FROM f WHERE name <> 'package.json'), "
+    "m AS (SELECT project_id, unnest(list_concat(json_keys(text, '$.dependencies'), json_keys(text, '$.devDependencies'))) AS package FROM f WHERE name = 'package.json' AND json_valid(text) "
+    "UNION SELECT project_id, regexp_split_to_array(line, '\\s+')[1] FROM l WHERE name = 'go.mod' AND regexp_matches(line, '\\S\\s+\\S') "
+    "UNION SELECT project_id, trim(string_split(line, '==')[1]) FROM l WHERE name = 'requirements.txt' AND line <> '' AND NOT starts_with(line, '#')) "
     "SELECT n.project_id, n.package, count(DISTINCT rel_path) AS n_files, min(rel_path) AS first_file FROM n WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.project_id = n.project_id AND m.package = n.package) GROUP BY 1, 2"
 )
 def missing_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q3, A4: imported packages a manifest lacks; the manifest is what several files of a project import."""
-    r = relations(spark, sf_dir)
-    named = r.where(~F.col("module").rlike(r"^[./\\]") & F.col("project_id").isNotNull()).withColumn("package", analysis.package_of(F.col("module")))
-    manifest = named.groupBy("project_id", "package").agg(F.countDistinct("rel_path").alias("n")).where("n > 1").select("project_id", "package")
-    return analysis.missing_dependencies(r, manifest)
+    """Imported packages that no manifest among the project's scanned files names."""
+    files = joined_pieces(table(spark, sf_dir, "scan_results"), ["result_id", "project_id", "rel_path"], "records", "text", F.element_at(F.split("rel_path", "/"), -1).isin(MANIFESTS))
+    manifest = manifest_packages(files, "rel_path", "text", ["project_id"])
+    return analysis.missing_dependencies(relations(spark, sf_dir), manifest)
 
 
 @query(
@@ -328,18 +331,18 @@ def arch_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.edges(relations(spark, sf_dir))
 
 
-_METHODS = "SELECT DISTINCT project_id || '|' || parent_symbol AS t, s AS method FROM chunks, unnest(symbols) AS u(s) WHERE parent_symbol <> '' AND s <> '' AND project_id IS NOT NULL AND s <> parent_symbol"
+_METHODS = "SELECT DISTINCT project_id, parent_symbol AS t, s AS method FROM chunks, unnest(symbols) AS u(s) WHERE parent_symbol <> '' AND s <> '' AND project_id IS NOT NULL AND s <> parent_symbol"
 
 
 @query(
-    f"WITH m AS ({_METHODS}), need AS (SELECT t AS interface, count(*) AS n FROM m GROUP BY 1), j AS (SELECT a.t AS interface, b.t AS type, count(*) AS n FROM m a JOIN m b USING (method) WHERE a.t <> b.t GROUP BY 1, 2) "
-    "SELECT interface, type, n AS n_methods FROM j JOIN need USING (interface, n)"
+    f"WITH m AS ({_METHODS}), need AS (SELECT project_id, t AS interface, count(*) AS n FROM m GROUP BY 1, 2), j AS (SELECT project_id, a.t AS interface, b.t AS type, count(*) AS n FROM m a JOIN m b USING (project_id, method) WHERE a.t <> b.t GROUP BY 1, 2, 3) "
+    "SELECT project_id, interface, type, n AS n_methods FROM j JOIN need USING (project_id, interface, n)"
 )
 def implements_division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q5: types that offer every method another one has."""
+    """Types that offer every method another one of their project has."""
     rows = chunks(spark, sf_dir).where("parent_symbol <> '' and project_id is not null")
-    m = rows.select(F.concat_ws("|", "project_id", "parent_symbol").alias("t"), "parent_symbol", F.explode("symbols").alias("method"))
-    m = m.where("method <> '' and method <> parent_symbol").select("t", "method").distinct()
+    m = rows.select("project_id", F.col("parent_symbol").alias("t"), F.explode("symbols").alias("method"))
+    m = m.where("method <> '' and method <> t").distinct()
     found = analysis.implementations(m.withColumnRenamed("t", "interface"), m.withColumnRenamed("t", "type"))
     return found.where("interface <> type")
 
@@ -380,15 +383,14 @@ def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_REL}, t AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(lower(text), '\\bno ([\\w@/.\\-]+)', 1), regexp_extract_all(lower(text), 'forbidden: ([\\w@/.\\-]+)', 1))) AS n FROM documents) "
-    "SELECT DISTINCT doc_id, regexp_replace(n, '[.\\-]+$', '') AS dep FROM t WHERE regexp_replace(n, '[.\\-]+$', '') IN (SELECT lower(coalesce(s, '')) FROM chunks, unnest(symbols) AS u(s) UNION SELECT 'retry' UNION SELECT 'longer')"
+    f"WITH {_REL} SELECT DISTINCT doc_id, lower(module) AS dep FROM documents JOIN r USING (project_id) WHERE doc_type IN ('decision', 'summary') AND module <> '' "
+    "AND (contains(lower(text), 'no ' || lower(module)) OR contains(lower(text), 'forbidden: ' || lower(module)))"
 )
 def forbidden_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q18: documents that rule out something by name."""
-    names = chunks(spark, sf_dir).select(F.explode("symbols").alias("dep")).where("dep is not null")
-    names = names.unionByName(spark.createDataFrame([("retry",), ("longer",)], "dep string"))
-    rules = documents(spark, sf_dir).select("doc_id", F.col("text").alias("rule"))
-    return analysis.forbidden(rules, names).select("doc_id", "dep").distinct()
+    """Decisions and summaries that rule out a module their project depends on."""
+    rules = documents(spark, sf_dir).where(F.col("doc_type").isin("decision", "summary")).select("doc_id", "project_id", F.col("text").alias("rule"))
+    deps = relations(spark, sf_dir).select("project_id", F.col("module").alias("dep"))
+    return analysis.forbidden(rules, deps).select("doc_id", "dep").distinct()
 
 
 @query(
@@ -480,22 +482,15 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1-T3 as a stream over the events there are; equal to the batch."""
     rows = stream.stream_events(spark, sf_dir).withWatermark("ts", "1 hour")
     sessions = stream.debounce(rows, "user_id", "ts", "event_type", "30 minutes")
-    name = "debounced_" + next(tempfile._get_candidate_names())
-    return stream.run_to_table(sessions, name, _scratch(spark, name)).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+    out = stream.run_to_folder(sessions, scratch(spark, "debounced"), "complete")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
 @query()
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rate limit per user as a stateful stream."""
     rows = stream.stream_events(spark, sf_dir).select("user_id", "event_id", "ts")
-    name = "bucket_" + next(tempfile._get_candidate_names())
-    return stream.run_to_table(stream.token_bucket(rows, "user_id", "ts", 1 / 3600, 3.0), name, _scratch(spark, name), "append")
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A folder for a stream's progress, shared by all executors where the cluster names one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp(prefix="spark-")
+    return stream.run_to_folder(stream.token_bucket(rows, "user_id", "ts", 1 / 3600, 3.0), scratch(spark, "bucket"))
 
 
 @query(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +34,31 @@ def local_session(cores: str = "8", shuffle_partitions: int | None = None, memor
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only the columns a plan uses are read.
 
-    A table of fewer splits than the session has cores (one small file) is
-    spread over them; larger ones are taken as they lie, without a shuffle.
+    A table in one small file, as in tests, is spread over the cores; folders of
+    files are taken as they lie, without a shuffle.
     """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    one_split = status.isFile() and status.getLen() < int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if one_split and cores > 1 else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only on a single machine."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("a cluster must name its shared folder in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a job's own files below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,6 +71,5 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)

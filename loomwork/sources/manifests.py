@@ -5,10 +5,21 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Names of the files that list dependencies (fixed values).
+MANIFESTS = ["package.json", "go.mod", "requirements.txt"]
+
+
+def joined_pieces(files: DataFrame, keep: list[str], records_col: str, out: str, which: Column | None = None) -> DataFrame:
+    """Files with their text put together from pieces, by the number that ends their ids."""
+    rows = files if which is None else files.where(which)
+    pieces = F.transform(F.filter(records_col, lambda r: r["content"].isNotNull()), lambda r: F.struct(F.regexp_extract(r["id"], r"(\d+)$", 1).try_cast("int").alias("n"), r["content"].alias("c")))
+    return rows.select(*keep, F.array_join(F.transform(F.array_sort(pieces), lambda x: x["c"]), "").alias(out))
+
+
 def manifest_packages(files: DataFrame, name_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """Packages that manifests name: package.json (dependencies and devDependencies),
     go.mod (first field of lines of two and more), requirements.txt (before ``==``)."""

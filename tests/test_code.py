@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import analysis, chunking, incremental, kpi
 from loomwork.operators.records import delete_prefix, latest, replace_by_path, set_status, upsert
-from loomwork.sources.manifests import alias_table, manifest_packages, strip_jsonc
+from loomwork.sources.manifests import MANIFESTS, alias_table, joined_pieces, manifest_packages, strip_jsonc
 from loomwork.sources.tree import allowed, ignore_patterns, path_tree, scan_files
 
 
@@ -73,15 +73,35 @@ def test_set_differences(spark):
 
 
 def test_division_aliases_rules(spark):
-    req = spark.createDataFrame([("I", "a"), ("I", "b"), ("J", "c"), ("I", "a")], "interface string, method string")
-    off = spark.createDataFrame([("S", "a"), ("S", "b"), ("S", "x"), ("T", "a"), ("T", "c")], "type string, method string")
+    req = spark.createDataFrame([("p", "I", "a"), ("p", "I", "b"), ("p", "J", "c"), ("p", "I", "a"), ("q", "K", "a"), ("p", "L", "none")], "project_id string, interface string, method string")
+    off = spark.createDataFrame([("p", "S", "a"), ("p", "S", "b"), ("p", "S", "x"), ("p", "T", "a"), ("p", "T", "c")], "project_id string, type string, method string")
     assert {(r["interface"], r["type"]) for r in analysis.implementations(req, off).collect()} == {("I", "S"), ("J", "T")}
     a = spark.createDataFrame([("@/", "src/"), ("@/lib", "lib")], "alias string, target string")
     m = spark.createDataFrame([("@/x",), ("@/lib/y",), ("z",)], "module string")
     assert {r["module"]: r["resolved"] for r in analysis.resolve_aliases(m, a).collect()} == {"@/x": "src/x", "@/lib/y": "lib/y", "z": "z"}
-    rules = spark.createDataFrame([(1, "There is no Lodash. Forbidden: axios"), (2, "nothing here")], "id int, rule string")
-    deps = spark.createDataFrame([("lodash",), ("axios",), ("left",)], "dep string")
-    assert {(r["id"], r["dep"]) for r in analysis.forbidden(rules, deps).collect()} == {(1, "lodash"), (1, "axios")}
+    rules = [(1, "p", "There is no Lodash. Forbidden: axios"), (2, "p", "nothing here"), (3, "q", "no lodash"), (4, "p", "no no database/sql in internal/api, none"), (5, None, "no axios"), (6, "p", None)]
+    rules = spark.createDataFrame(rules, "id int, project_id string, rule string")
+    deps = spark.createDataFrame([("p", "lodash"), ("p", "axios"), ("p", "left"), ("p", "database/sql"), ("p", "no database"), ("p", ""), ("p", None), (None, "axios")], "project_id string, dep string")
+    assert {(r["id"], r["dep"]) for r in analysis.forbidden(rules, deps).collect()} == {(1, "lodash"), (1, "axios"), (4, "database/sql"), (4, "no database")}
+
+
+def test_mini_monorepo(spark):
+    package = '{"dependencies": {"react": "1"}, "devDependencies": {"vite": "2"}}'
+    scans = [(1, "p", "package.json", [("x:1", package[20:]), ("x:0", package[:20])]), (2, "p", "apps/api/go.mod", [("y:0", "module a\nrequire (\n\tgithub.com/x/y v1.2\n)\n")]), (3, "p", "requirements.txt", [("z:0", "# c\nflask==2\nnumpy\n")]), (4, "p", "a.ts", None)]
+    scans = spark.createDataFrame(scans, "result_id int, project_id string, rel_path string, records array<struct<id:string,content:string>>")
+    files = joined_pieces(scans, ["project_id", "rel_path"], "records", "text", F.element_at(F.split("rel_path", "/"), -1).isin(MANIFESTS))
+    names = {r["package"] for r in manifest_packages(files, "rel_path", "text", ["project_id"]).collect()}
+    assert {"react", "vite", "flask", "numpy"} <= names
+    imports = spark.createDataFrame([("p", "apps/api/a.ts", m) for m in ("axios", "react", "@herexa/shared/x", "./own", "vite/client")], "project_id string, rel_path string, module string")
+    lost = {r["package"] for r in analysis.missing_dependencies(imports, manifest_packages(files, "rel_path", "text", ["project_id"])).collect()}
+    assert lost == {"axios", "@herexa/shared"}
+    assert ("apps/api", "@herexa/shared/x") in {(r["source"], r["target"]) for r in analysis.edges(imports).collect()}
+
+
+def test_test_files(spark):
+    paths = {"a/b_test.go": True, "x/test/a.py": True, "x/tests/a.py": True, "test/a.py": False, "a_test.py": False, "a/contest/b.go": False}
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", analysis.is_test(F.col("p")).alias("t")).collect()
+    assert {r["p"]: r["t"] for r in got} == paths
 
 
 def test_lines_and_issues(spark):

@@ -63,7 +63,7 @@ def test_nearest_of_queries(spark):
     x = rng.normal(size=(200, 6)).astype(np.float32)
     df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id bigint, v array<float>")
     got = {}
-    for r in vector.nearest_of_queries(df, df.where("id % 10 = 0"), "id", "v", 6, 4, block=7).collect():
+    for r in vector.nearest_of_queries(df, df.where("id % 10 = 0"), "id", "v", 6, 4, part_rows=7).collect():
         got.setdefault(r["query"], set()).add(r["neighbor"])
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)

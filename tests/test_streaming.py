@@ -32,9 +32,11 @@ def test_stream_equals_batch_and_bucket(spark, tmp_path):
     events = rows(spark).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     live = stream.stream_events(spark, str(tmp_path))
-    got = stream.run_to_table(stream.debounce(live.withWatermark("ts", "1 hour"), "path", "ts", "op"), "t_debounce", str(tmp_path / "c1"))
+    got = stream.run_to_folder(stream.debounce(live.withWatermark("ts", "1 hour"), "path", "ts", "op"), str(tmp_path / "c1"), "complete")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, stream.debounce(rows(spark), "path", "ts", "op").collect()), key=str)
-    out = stream.run_to_table(stream.token_bucket(live, "path", "ts", 1.0, 2.0), "t_bucket", str(tmp_path / "c2"), "append")
+    seen = []
+    out = stream.run_to_folder(stream.token_bucket(live, "path", "ts", 1.0, 2.0), str(tmp_path / "c2"), hooks=[lambda rows, n: seen.append((n, rows.count()))])
+    assert sum(n for _, n in seen) == len(EVENTS)
     allowed = {r["event_id"]: r["allowed"] for r in out.collect()}
     tokens, last, want = {"a": 2.0, "b": 2.0}, {}, {}
     for i, (p, ms, _) in enumerate(EVENTS):
@@ -46,3 +48,14 @@ def test_stream_equals_batch_and_bucket(spark, tmp_path):
     assert allowed == want
     with pytest.raises(Exception):
         stream.stream_events(spark, str(tmp_path / "absent"))
+
+
+def test_changes_as_a_stream(spark, tmp_path):
+    store = str(tmp_path / "store")
+    spark.createDataFrame([("x/a.go", 1), ("m.md", 1), ("k.py", 1)], "path string, v int").write.parquet(f"{store}/v=-1")
+    ev = [("x/a.go", T0, "remove"), ("m.md", T0, "write"), ("n.ts", T0, "create")]
+    spark.createDataFrame(ev, "path string, ts timestamp, op string").coalesce(1).write.parquet(str(tmp_path / "ev"))
+    live = spark.readStream.schema("path string, ts timestamp, op string").parquet(str(tmp_path / "ev"))
+    hooked = []
+    last = stream.stream_changes(live, store, lambda rows: rows.select("path").distinct().withColumn("v", F.lit(2)), str(tmp_path / "p"), [lambda rows, n: hooked.append(rows.count())])
+    assert {tuple(r) for r in spark.read.parquet(last).collect()} == {("m.md", 2), ("n.ts", 2), ("k.py", 1)} and hooked == [3]
