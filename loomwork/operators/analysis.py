@@ -219,3 +219,16 @@ def impact_radius(chunks: DataFrame, symbol: str) -> DataFrame:
     users = chunks.where(F.array_contains(names, symbol)).select("project_id", "chunk_id", "rel_path")
     defs = chunks.where(F.array_contains("symbols", symbol)).groupBy("project_id").agg(F.min("chunk_id").alias("definition"))
     return users.join(defs, "project_id", "left").select(F.lit(symbol).alias("name"), "chunk_id", "rel_path", "definition").distinct()
+
+
+def dependents(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """Packages that call or relate to a name defined in another package that changed: project_id, package, n_changed, n_names.
+
+    Names join within their project; the defining packages of a name, and the
+    using ones, are distinct before they meet.
+    """
+    names = F.concat(F.coalesce("calls", F.array().cast("array<string>")), F.coalesce("relationships", F.array().cast("array<string>")))
+    used = rows.select("project_id", "package", F.explode(names).alias("name")).distinct()
+    defined = changed.select("project_id", F.col("package").alias("changed"), F.explode("symbols").alias("name")).distinct()
+    met = used.join(defined, ["project_id", "name"]).where("package <> changed")
+    return met.groupBy("project_id", "package").agg(F.countDistinct("changed").alias("n_changed"), F.countDistinct("name").alias("n_names"))

@@ -10,7 +10,7 @@ from ..operators.records import clear_project, meta, upsert
 from ..session import cut, scratch, table
 from . import sql
 from .catalogue import query
-from .code import _ANTI, _DEFS, _LINES, _NAMES, _REL, _used, chunks
+from .code import _ANTI, _DEFS, _LINES, _NAMES, _used, chunks
 from .retrieval import _DOC_BM25, SEARCH, TERMS, documents, records
 
 _PATH = "metadata['path']"
@@ -175,14 +175,13 @@ def bm25_store_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_REL}, d AS (SELECT DISTINCT project_id, regexp_replace(rel_path, '/?[^/]*$', '') AS package, module FROM r WHERE project_id IS NOT NULL), "
-    "c AS (SELECT DISTINCT project_id, regexp_replace(regexp_replace(rel_path, '\\.[^./]*$', ''), '^.*/', '') AS module FROM scan_results WHERE indexed AND project_id IS NOT NULL) "
-    "SELECT project_id, package, count(DISTINCT module) AS n_changed FROM d JOIN c USING (project_id, module) GROUP BY 1, 2"
+    "WITH c AS (SELECT project_id, regexp_replace(rel_path, '/?[^/]*$', '') AS package, * EXCLUDE (project_id) FROM chunks WHERE project_id IS NOT NULL), "
+    "d AS (SELECT DISTINCT project_id, package AS changed, unnest(symbols) AS name FROM c WHERE indexed_at >= TIMESTAMP '2025-06-01'), "
+    "u AS (SELECT DISTINCT project_id, package, unnest(list_concat(coalesce(calls, []), coalesce(relationships, []))) AS name FROM c) "
+    "SELECT project_id, package, count(DISTINCT changed) AS n_changed, count(DISTINCT name) AS n_names FROM u JOIN d USING (project_id, name) WHERE package <> changed GROUP BY 1, 2"
 )
 def redistill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q19, T5: packages that depend on a module whose file was indexed anew."""
-    package = F.regexp_replace("rel_path", r"/?[^/]*$", "").alias("package")
-    deps = chunks(spark, sf_dir).where("project_id is not null").select("project_id", package, F.explode("relationships").alias("module")).distinct()
-    changed = table(spark, sf_dir, "scan_results").where("indexed AND project_id IS NOT NULL")
-    changed = changed.select("project_id", F.regexp_replace(F.regexp_replace("rel_path", r"\.[^./]*$", ""), "^.*/", "").alias("module")).distinct()
-    return deps.join(changed, ["project_id", "module"]).groupBy("project_id", "package").agg(F.countDistinct("module").alias("n_changed"))
+    """Q19, T5: packages that use a name which a package changed since a day defines."""
+    rows = chunks(spark, sf_dir).where("project_id is not null").withColumn("package", F.regexp_replace("rel_path", r"/?[^/]*$", ""))
+    changed = rows.where(F.col("indexed_at") >= F.lit("2025-06-01").cast("timestamp_ntz"))
+    return analysis.dependents(rows, changed)
