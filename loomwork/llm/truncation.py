@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +39,9 @@ JSON_START, HTML_START = re.compile(r"[\[{]\s*[\"{\[]"), re.compile(r"<(!doctype
 HTML_END = re.compile(r"</(html|body|rss|feed|svg)>\s*$", re.I)
 CODE_END = re.compile(r"^\s*[})\]]+[;,]?$|^\s*(return|pass|raise|continue|break)\b[^(\[{]*$|[;}]$|\?>$")
 LAST_WORD = re.compile(r"(\w+)$")
+WORD, FINAL_WORD = re.compile(r"\w+"), re.compile(r"(\w+)[.!?](?=\s|[<\"]|$)")
+#: Share of a word's occurrences that end sentences, from which dots after it may be a pause.
+FINAL_SHARE = 0.02
 
 
 def describe_end(text: str, kind: str | None) -> tuple[str, bool, bool, bool, bool, str] | None:
@@ -71,7 +75,7 @@ def describe_end(text: str, kind: str | None) -> tuple[str, bool, bool, bool, bo
     if shape in ("code", "json", "html"):
         whole = not is_open
     else:
-        subject = len(body) <= 400 and SUBJECT.match(core) and not FLATTENED.match(core)
+        subject = SUBJECT.match(body) and not FLATTENED.match(body)
         whole = bool(SENTENCE_END.search(end) or LOOSE_LINE.match(line) or subject or (end.endswith(("}", "]")) and not unclosed))
     return shape, marked, dots, is_open, whole, word[1].lower() if word else ""
 
@@ -115,34 +119,50 @@ def odd_ends(df: DataFrame, id_col: str, text_col: str, source_col: str, type_co
     )
 
 
-def sentence_final_words(df: DataFrame, text_col: str, type_col: str | None) -> DataFrame:
-    """How often each word ends a sentence in the texts that are not code: _word, _n_final."""
+def final_shares(df: DataFrame, text_col: str, type_col: str | None) -> DataFrame:
+    """The share of each word's occurrences that end a sentence in the texts that are not code: _word, _final.
+
+    Words are counted batch by batch, then summed.
+    """
     rows = df if type_col is None else df.where(~F.coalesce(F.lower(type_col).isin(CODE_TYPES), F.lit(False)))
-    words = F.regexp_extract_all(F.lower(text_col), F.lit(r"([\p{L}\p{M}\p{N}_]+)[.!?](?=\s|[<\"]|$)"), F.lit(1))
-    return rows.select(F.explode(words).alias("_word")).groupBy("_word").agg(F.count("*").alias("_n_final"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every: Counter[str] = Counter()
+            final: Counter[str] = Counter()
+            for text in batch.column("_text").to_pylist():
+                low = text.lower()
+                every.update(WORD.findall(low))
+                final.update(FINAL_WORD.findall(low))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([final[w] for w in every], pa.int64())], names=["_word", "_n", "_m"]
+            )
+
+    counted = rows.where(F.length(text_col) > 0).select(F.col(text_col).alias("_text")).mapInArrow(run, "_word string, _n bigint, _m bigint")
+    sums = counted.groupBy("_word").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"))
+    return sums.where("_m > 0").select("_word", (F.col("_m") / F.col("_n")).alias("_final"))
 
 
 def field_limits(odd: DataFrame, slack: int = 24, least: int = 5) -> DataFrame:
     """Per source the length at which texts with marks of omission pile up: _source, _limit.
 
-    Lengths are counted in windows of ``slack``; the fullest window counts if
-    it has ``least`` texts and a quarter of them all, and its most frequent
-    length is the limit.
+    Lengths are counted in windows of ``slack`` that overlap by half; the
+    fullest window counts if it has ``least`` texts and a quarter of them all,
+    and its most frequent length is the limit.
     """
     marked = odd.where((F.col("_dots") | F.col("_marked")) & ~F.col("_whole") & (F.col("_shape") == "prose"))
     lengths = marked.groupBy("_source", "_len").agg(F.count("*").alias("_n"))
-    windows = lengths.groupBy("_source", F.floor(F.col("_len") / slack).alias("_w")).agg(
-        F.sum("_n").alias("_n"), F.max(F.struct("_n", "_len")).alias("_mode")
-    )
-    most = windows.groupBy("_source").agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "_mode")).alias("_top"))
-    return most.where((F.col("_top._n") >= least) & (F.col("_top._n") * 4 >= F.col("_all"))).select(
-        "_source", F.col("_top._mode._len").alias("_limit")
-    )
+    half = F.floor(F.col("_len") / (slack / 2))
+    windows = lengths.withColumn("_w", F.explode(F.array(half, half - 1))).groupBy("_source", "_w").agg(F.sum("_n").alias("_n"), F.max(F.struct("_n", "_len")).alias("_mode"))
+    alls = lengths.groupBy("_source").agg(F.sum("_n").alias("_all"))
+    most = windows.groupBy("_source").agg(F.max(F.struct("_n", "_mode")).alias("_top")).join(alls, "_source")
+    return most.where((F.col("_top._n") >= least) & (F.col("_top._n") * 4 >= F.col("_all"))).select("_source", F.col("_top._mode._len").alias("_limit"))
 
 
 def prefix_copies(odd: DataFrame, texts: DataFrame, least: int = 20) -> DataFrame:
     """Texts of ``odd`` (_id, _text, _whole, _open) that are strict prefixes of
-    longer ones of ``texts``, which go on with more than marks of omission and blanks (_id, _text): _id, _longer, the length of the longest such copy.
+    longer ones of ``texts``, which go on with more than marks of omission and blanks (_id, _text): _id, _longer, the length of the longest
+    such copy, _mid, whether one goes on inside a word.
 
     A text of length L with P <= L < 2P, P a power of two, looks among texts of
     the same first P characters by hash.  Per such hash only the distinct
@@ -167,12 +187,12 @@ def prefix_copies(odd: DataFrame, texts: DataFrame, least: int = 20) -> DataFram
         longs.join(wanted, "_id")
         .where("_l < _len")
         .where((F.col("_len") - F.col("_l") > 100) | ~F.expr("substring(_text, _l + 1)").rlike(ONLY_MARK))
-        .select("_l", F.xxhash64(prefix).alias("_h"), prefix.alias("_prefix"), F.col("_len").alias("_n"))
+        .select("_l", F.xxhash64(prefix).alias("_h"), prefix.alias("_prefix"), F.col("_len").alias("_n"), F.expr("substring(_text, _l, 2)").rlike(r"^[\p{L}\p{N}_]{2}$").alias("_mid"))
         .groupBy("_l", "_h", "_prefix")
-        .agg(F.max("_n").alias("_longer"))
+        .agg(F.max("_n").alias("_longer"), F.max("_mid").alias("_mid"))
     )
     mine = asked.select("_id", F.col("_len").alias("_l"), F.xxhash64("_text").alias("_h"), F.col("_text").alias("_prefix"))
-    return mine.join(offers, ["_l", "_h", "_prefix"]).groupBy("_id").agg(F.max("_longer").alias("_longer"))
+    return mine.join(offers, ["_l", "_h", "_prefix"]).groupBy("_id").agg(F.max("_longer").alias("_longer"), F.max("_mid").alias("_mid"))
 
 
 def find_truncated(
@@ -191,24 +211,28 @@ def find_truncated(
     inside a word or sentence), ``limit`` (dots after a word that may end a
     sentence, at the length where the source's texts pile up).
 
-    Defined cases: null and blank texts, titles, todos, list items, table rows
-    and trailers give no row; dots after a word that ends sentences elsewhere
-    in the corpus are a pause the author meant unless the length is the
-    source's limit; a null source is a source of its own without a limit;
+    Defined cases: null and blank texts, list items, table rows and trailers
+    give no row; a todo or title only with a mark, with dots inside a sentence,
+    or if a longer copy goes on inside its last word; dots after a word of which
+    FINAL_SHARE of all occurrences end sentences are a pause the author meant
+    unless the length is the source's limit; a null source is a source of its own without a limit;
     repeated ids are judged each and given once; very long texts are judged by
     their whole brackets and their last 400 characters; clashing extra columns
     are ignored; an empty table gives an empty result.
     """
     odd = cut(odd_ends(df, id_col, text_col, source_col, type_col))
     limits = field_limits(odd, slack)
-    final = sentence_final_words(df, text_col, type_col)
+    final = final_shares(df, text_col, type_col)
     copies = prefix_copies(odd, df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
     judged = odd.drop("_text").join(limits, "_source", "left").join(final, "_word", "left").join(copies, "_id", "left")
-    known = F.coalesce(F.col("_n_final") > 0, F.lit(False))
+    known = F.coalesce(F.col("_final") >= FINAL_SHARE, F.lit(False))
     at_limit = F.coalesce((F.col("_len") <= F.col("_limit") + 6) & (F.col("_len") > F.col("_limit") - slack), F.lit(False))
     prose = F.col("_shape") == "prose"
     evidence = (
-        F.when(F.col("_shape") == "title", F.when(F.col("_marked"), "mark"))
+        F.when(
+            F.col("_shape") == "title",
+            F.when(F.col("_marked"), "mark").when(F.col("_mid") & ~F.col("_whole"), "copy").when(F.col("_dots") & ~F.col("_whole") & ~known, "sentence"),
+        )
         .when(F.col("_marked") & ~F.col("_whole"), "mark")
         .when(F.col("_longer").isNotNull() & (~F.col("_whole") | F.col("_open")), "copy")
         .when(F.col("_open"), "structure")

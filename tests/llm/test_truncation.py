@@ -58,3 +58,24 @@ def test_marked_texts_with_their_copy(spark):
     rows += [(14, "Nobody walks past the old edge...", "a", "note"), (15, "Nobody walks past the old edge....  ", "a", "note")]  # no copy goes on
     _, got = run(spark, rows)
     assert got == {11: "copy", 12: "copy", 13: "mark"}
+
+
+def test_todos_subjects_and_rates(spark):
+    filler = [(i, f"The spare lamp waits here. Nobody moves the lamp beside stone {i}. It is late.", "a", "note") for i in range(60)]
+    once = [(70, "Wait for the beside. Then go.", "a", "note")]  # one of 61 ends a sentence
+    rows = [
+        (80, "link the raw reader package", "t", "todo"), (81, "link the raw reader pack", "t", "todo"), (82, "link the raw reader", "t", "todo"),
+        (83, "collect the lamps that stand besi...", "t", "todo"), (84, "fix(core): " + "bind the reader in scope and " * 20, "c", "commit"),
+        (85, "The reader sleeps on the far side of the bench beside...", "n", "note"),
+    ]
+    _, got = run(spark, filler + once + rows)
+    assert got == {81: "copy", 83: "sentence", 85: "sentence"}
+
+
+def test_a_limit_between_two_windows(spark):
+    words = [(i, f"stone{i} waits. The lamp is out.", "r", "review") for i in range(40)]
+    cut = [(100 + i, ("The river runs past the lamp that is out " * 30)[: 286 + i % 6].rstrip() + "...", "r", "review") for i in range(30)]
+    ends = sorted({t[1].rstrip(".").split()[-1] for t in cut})
+    pauses = [(900 + k, f"Then {w} again. We waited for the {w}. The {w}.", "x", "note") for k, w in enumerate(ends)]
+    _, got = run(spark, words + cut + pauses)
+    assert set(got) == {c[0] for c in cut}
