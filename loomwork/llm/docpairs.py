@@ -53,6 +53,8 @@ _LICENCE = re.compile(
     r"|spdx-license|all rights reserved",
     re.I,
 )
+#: Lines that speak of a function's parameters or results.
+_ABOUT = re.compile(r"^(?:[@\\:](?:param|arg|return|throws|raises|yields)|(?:args|arguments|parameters|returns|raises|yields):)", re.I)
 _TAG = re.compile(r"^[@\\:](?P<tag>[a-zA-Z]+)\s*(?P<rest>.*)$")
 _INLINE_TAG = re.compile(r"\{@\w+[^}]*\}")
 _PLACEHOLDER = re.compile(r"^\W*(?:todo|fixme|xxx|tbd|tba|hack|wip|n/?a|none|null|nil|undefined|pending|stub|docstring|description|summary|comment)\b\W*", re.I)
@@ -87,13 +89,20 @@ def clean_lines(doc: str) -> list[str]:
     return [x for x in (_MARKS.sub("", line) for line in doc.replace("\r", "").split("\n")) if x]
 
 
+def _is_licence(lines: list[str]) -> bool:
+    """A notice of rights: its first line is one, or one stands among its lines and no line tells of parameters or results."""
+    if _LICENCE.search(lines[0]):
+        return True
+    return any(_LICENCE.search(x) for x in lines) and not any(_ABOUT.match(x) for x in lines)
+
+
 def informative(doc: str | None, name: str, params: list[str]) -> bool:
     """Whether a text tells more than the function's own name and parameters."""
     if not doc:
         return False
     lines = clean_lines(doc)
     lines = [x for x in (_INLINE_TAG.sub("", x).strip() for x in lines) if x and not _TOOL.match(x)]
-    if not lines or _LICENCE.search(lines[0]) or (len(lines) > 1 and _LICENCE.search(" ".join(lines[:3])) and all(_LICENCE.search(x) or len(x) < 120 for x in lines[:2])):
+    if not lines or _is_licence(lines):
         return False
     if all(_CODE.search(x) for x in lines):
         return False
@@ -163,6 +172,35 @@ def _body_follows(lines: list[str], at: int, start: int) -> bool:
     return False
 
 
+#: Comments, strings and single characters; Rust's quotes also begin lifetimes.
+_ARGUMENT = {"rs": re.compile(r"//|/\*.*?(?:\*/|$)|\"(?:[^\"\\]|\\.)*\"|."), "py": re.compile(r"#|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|."), "php": re.compile(r"//|#(?!\[)|/\*.*?(?:\*/|$)|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|.")}
+
+
+def _arguments(lines: list[str], at: int, start: int, lang: str) -> str | None:
+    """What stands between the brackets that open before ``start`` of a line, however many lines they
+    take, without comments and what is in inner brackets; None if they never close."""
+    depth, out, pattern = 1, [], _ARGUMENT.get(lang, _PIECE)
+    angles = lang in ("js", "rs")
+    for n, line in enumerate(lines[at:]):
+        for m in pattern.finditer(line, start if n == 0 else 0):
+            piece = m[0]
+            if piece in ("//", "#"):
+                break
+            if piece.startswith("/*"):
+                continue
+            around = line[m.start() - 1 : m.start()], line[m.end() : m.end() + 1]
+            if piece in "([{" or angles and piece == "<" and around[1] not in ("=", "<", " ") and around[0] not in ("<", " "):
+                depth += 1
+            elif piece in ")]}" or angles and piece == ">" and depth > 1 and around[0] not in ("=", "-", " "):
+                depth -= 1
+                if not depth:
+                    return "".join(out)
+            elif depth == 1:
+                out.append(piece)
+        out.append(" ")
+    return None
+
+
 def find_functions(content: str, lang: str) -> list[dict]:
     """Functions and methods of a piece of code: name, params, line, and the texts beside them."""
     lines = content.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
@@ -195,7 +233,10 @@ def find_functions(content: str, lang: str) -> list[dict]:
                 # a method, not a call: a body must open behind the brackets
                 if not line.rstrip().endswith("{") and not _body_follows(lines, i, m.start("args")):
                     continue
-            args = next((m[g] for g in ("args", "args2", "args3") if g in m.groupdict() and m[g]), "")
+            g = next((g for g in ("args", "args2", "args3") if g in m.groupdict() and m[g] is not None), None)
+            args = "" if g is None else m[g]
+            if g in ("args", "args2"):
+                args = _arguments(lines, i, m.start(g), lang) or args
             params = re.findall(rf"(?:^|,)\s*(?:mut\s+|\.\.\.|\*+|&\s*|[\\\w?|]+\s+(?=\$))*\$?({_ID})", args)
             found.append({"name": m["name"].lstrip("#"), "params": [p for p in params if p not in ("self", "cls", "this")], "line": i, "above": _above(lines, i, single), "inside": _inside(lines, i) if lang == "py" else None})
             break

@@ -73,3 +73,15 @@ def test_methods_with_many_parameter_lines():
     params = "".join(f"    part{i}: string, // the {i}th (of many\n" for i in range(30))
     text = f"class A {{\n  build(\n{params}  ): Record<string, number> {{\n    return go(\n{params}    );\n  }}\n}}\n"
     assert [f["name"] for f in find_functions(text, "js")] == ["build"]
+
+
+def test_parameters_over_several_lines_and_late_licences():
+    code = "func Bind(\n\tctx context.Context, // who asks\n\tstore map[string]int,\n) error {\n\treturn nil\n}\n"
+    assert find_functions(code, "go")[0]["params"] == ["ctx", "store"]
+    code = "function bind(\n  a,\n  cb: (x: number) => void,\n  opts = { deep: f(1, 2) },\n) {\n  return a;\n}\n"
+    assert find_functions(code, "js")[0]["params"] == ["a", "cb", "opts"]
+    # repeats the parameters alone
+    assert not informative("// Bind ctx store", "Bind", ["ctx", "store"])
+    late = "/**\n * bind.go\n *\n * Part of the kit.\n *\n * Copyright 2020 the authors. All rights reserved.\n */"
+    assert not informative(late, "bind", [])
+    assert informative("/**\n * Binds the reader to the shard that holds its rows.\n * @param owner who holds all rights\n */", "bind", ["owner"])
