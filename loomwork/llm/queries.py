@@ -76,6 +76,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p6_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids by overlapping chunks of 512 characters, which nearly all texts are longer than."""
+    return encode_corpus(table(spark, sf_dir, "documents"), chunk_chars=512, overlap_chars=128)
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sized = cut(count_tokens(table(spark, sf_dir, "documents"), ["doc_id", "source"]))
     return mix_sources(sized, table(spark, sf_dir, "mix_targets"))
@@ -106,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_pieces, p2_found, p2_pairs, p3_found, p3_nearest, p4_found, p4_groups,
-        p5_found, p5_reasons, p6_ids, p7_mix, p7_shares, p8_found, p8_shares,
+        p5_found, p5_reasons, p6_ids, p6_chunked, p7_mix, p7_shares, p8_found, p8_shares,
     )
 }
 

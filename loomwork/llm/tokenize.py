@@ -135,9 +135,10 @@ def long_text_pieces(long: DataFrame, folder: str, name: str, chunk_chars: int,
         .repartition("_row", "_no")
         .mapInPandas(boundaries, "_row string, _no int, _head array<bigint>, _tail array<bigint>")
     )
-    both = marks.select("_row", (F.col("_no") + 1).alias("_no"), "_tail").join(
-        marks.select("_row", "_no", "_head"), ["_row", "_no"]
-    )
+    # each chunk's tail goes to the next one's head; every chunk is scanned once
+    none = F.lit(None).cast("array<bigint>")
+    ends = F.array(F.struct((F.col("_no") + 1).alias("n"), F.col("_tail").alias("t"), none.alias("h")), F.struct(F.col("_no").alias("n"), none.alias("t"), F.col("_head").alias("h")))
+    both = marks.select("_row", F.explode(ends).alias("_e")).groupBy("_row", F.col("_e.n").alias("_no")).agg(F.max("_e.t").alias("_tail"), F.max("_e.h").alias("_head"))
     # Matching a pre-token depends only on what follows its start, so from a common boundary on two scans
     # agree.  A chunk is trusted if the one before it is and both share a boundary: the cuts up to the first
     # gap count, and what lies behind it is one piece.

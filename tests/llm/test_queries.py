@@ -20,6 +20,9 @@ def test_runs(spark, name):
         assert df.columns == COLUMNS[name]
         keys = [tuple(map(str, r)) for r in rows]
         assert len(keys) == len(set(keys))
+    if name == "p6_chunked":
+        whole = {r["doc_id"]: r["ids"] for r in QUERIES["p6_ids"](spark, SMALL).collect()}
+        assert {r["doc_id"]: r["ids"] for r in rows} == whole and any(len(x) > 300 for x in whole.values())
     if df.columns[:2] == ["rec_a", "rec_b"]:
         assert all(r["rec_a"] < r["rec_b"] for r in rows)
 
