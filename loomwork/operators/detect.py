@@ -43,8 +43,7 @@ def content_type(path: Column, content: Column) -> Column:
     signs = F.lit(0)
     for s in CODE_SIGNS:
         signs = signs + F.contains(low, F.lit(s)).cast("int")
-    code = [k for k in LANGUAGES if k != "cxx"]
-    return F.when(e.isin(code), "code").when(e.isin(DOC_ENDINGS), "documentation").when(e.isin(CONFIG_ENDINGS), "config").when(signs >= 2, "code").otherwise("general")
+    return F.when(e.isin(list(LANGUAGES)) & (e != "cxx"), "code").when(e.isin(DOC_ENDINGS), "documentation").when(e.isin(CONFIG_ENDINGS), "config").when(signs >= 2, "code").otherwise("general")
 
 
 def calls(content: Column) -> Column:
@@ -72,3 +71,50 @@ def definition_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.length("content") > 0).select(
         id_col, "chunk_no", F.regexp_replace(head, r"^const .*", "const").alias("kind"), F.when(F.length(head) > 0, name).otherwise("").alias("name"), "content", "start_line", calls(F.col("content")).alias("calls")
     )
+
+
+#: A definition with the line comments right above it: (comments, name).
+DOCUMENTED = (
+    r"(?m)^((?:[ \t]*(?://|#)[^\n]*\n)+)[ \t]*(?:(?:export|default|pub|async|static|public|private|protected)\s+)*"
+    r"(?:func|function|def|fn|class|struct|type|interface)\s+(?:\([^)\n]*\)\s*)?([A-Za-z_]\w*)"
+)
+#: A Go method's receiver type, and a class with the name of its members' parent.
+RECEIVER = r"(?m)^func\s*\(\s*(?:[A-Za-z_]\w*\s+)?\*?([A-Za-z_]\w*)"
+CLASS = r"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"
+CONTEXT = r"^// Context: ([^\n]*?) -> "
+
+
+def parent_symbol(path: Column, content: Column) -> Column:
+    """What a chunk's definitions belong to: the parent named in its first line, a Go method's receiver, else the first class; empty if there is none."""
+    named, receiver, klass = (F.regexp_extract(content, p, 1) for p in (CONTEXT, RECEIVER, CLASS))
+    return F.coalesce(F.nullif(named, F.lit("")), F.nullif(F.when(ending(path) == "go", receiver).otherwise(klass), F.lit("")), F.lit(""))
+
+
+def documented(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Definitions with the line comments that end on the line above: id, name, docstring.
+
+    Any line of code or blank line between resets the comment; marks and the
+    blank behind them are taken off each line.  The first line of a chunk that
+    names its parent is no comment.
+    """
+    body = F.regexp_replace(F.regexp_replace(text_col, r"\r\n", "\n"), CONTEXT + r"[^\n]*\n", "")
+    pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(DOCUMENTED), F.lit(1)).alias("c"), F.regexp_extract_all(body, F.lit(DOCUMENTED), F.lit(2)).alias("n"))
+    rows = df.select(id_col, F.explode(pairs).alias("p"))
+    return rows.select(id_col, F.col("p.n").alias("name"), F.trim(F.regexp_replace("p.c", r"(?m)^[ \t]*(?://+|#+)[ \t]?", ""), F.lit("\n")).alias("docstring"))
+
+
+#: The body of a Go struct or interface without inner brackets, and its lines.
+STRUCT, INTERFACE = r"\bstruct\s*\{([^{}]*)\}", r"\binterface\s*\{([^{}]*)\}"
+FIELD, METHOD = r"(?m)^[ \t]+([A-Za-z_]\w*)[ \t]+([*\[\]A-Za-z_][\w.*\[\]]*)", r"(?m)^[ \t]+([A-Za-z_]\w*)\("
+
+
+def structure(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Fields with their types and methods of structs and interfaces: id, key (``field:`` or ``method:`` and the name), value."""
+    bodies = df.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(STRUCT), F.lit(1))).alias("b"))
+    fields = bodies.select(id_col, F.explode(F.arrays_zip(F.regexp_extract_all("b", F.lit(FIELD), F.lit(1)).alias("n"), F.regexp_extract_all("b", F.lit(FIELD), F.lit(2)).alias("t"))).alias("f"))
+    faces = df.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(INTERFACE), F.lit(1))).alias("b"))
+    methods = faces.select(id_col, F.explode(F.regexp_extract_all("b", F.lit(METHOD), F.lit(1))).alias("n"))
+    return (
+        fields.select(id_col, F.concat(F.lit("field:"), "f.n").alias("key"), F.col("f.t").alias("value"))
+        .unionByName(methods.select(id_col, F.concat(F.lit("method:"), "n").alias("key"), F.lit("defined").alias("value"))).distinct()
+    )

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analysis, lexical
+from ..functions.text import word_overlap
+from ..operators import analysis, detect, hooks, lexical
 from ..operators.records import clear_project, meta, upsert
 from ..session import cut, scratch, table
 from . import sql
 from .catalogue import query
-from .code import _ANTI, _DEFS, _LINES, _NAMES, _used, chunks
+from .code import _ANTI, _CHUNK, _DEFS, _LINES, _NAMES, _used, chunks, one_chunk
 from .retrieval import _DOC_BM25, SEARCH, TERMS, documents, records
 
 _PATH = "metadata['path']"
@@ -185,3 +186,68 @@ def redistill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir).where("project_id is not null").withColumn("package", F.regexp_replace("rel_path", r"/?[^/]*$", ""))
     changed = rows.where(F.col("indexed_at") >= F.lit("2025-06-01").cast("timestamp_ntz"))
     return analysis.dependents(rows, changed)
+
+
+# The SQL of the chunk attributes spells its patterns out, apart from the operators' constants.
+@query(
+    "WITH " + _CHUNK + ", p AS (SELECT chunk_id, nullif(regexp_extract(content, '^// Context: ([^\\n]*?) -> ', 1), '') AS a, "
+    "nullif(CASE WHEN ends_with(lower(rel_path), '.go') THEN regexp_extract(content, '(?m)^func\\s*\\(\\s*(?:[A-Za-z_][A-Za-z0-9_]*\\s+)?\\*?([A-Za-z_][A-Za-z0-9_]*)', 1) "
+    "ELSE regexp_extract(content, '(?m)^[ \\t]*(?:export\\s+)?(?:default\\s+)?(?:abstract\\s+)?class\\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1) END, '') AS b FROM ch WHERE content IS NOT NULL AND rel_path IS NOT NULL) "
+    "SELECT chunk_id, coalesce(a, b, '') AS parent FROM p"
+)
+def parent_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: the class or receiver a chunk belongs to."""
+    rows = one_chunk(spark, sf_dir).where("content is not null and rel_path is not null")
+    return rows.select("chunk_id", detect.parent_symbol(F.col("rel_path"), F.col("content")).alias("parent"))
+
+
+_DOC_SQL = "(?m)^((?:[ \\t]*(?://|#)[^\\n]*\\n)+)[ \\t]*(?:(?:export|default|pub|async|static|public|private|protected)\\s+)*(?:func|function|def|fn|class|struct|type|interface)\\s+(?:\\([^)\\n]*\\)\\s*)?([A-Za-z_][A-Za-z0-9_]*)"
+
+
+@query(
+    "WITH " + _CHUNK + ", b AS (SELECT chunk_id, regexp_replace(replace(content, chr(13) || chr(10), chr(10)), '^// Context: ([^\\n]*?) -> [^\\n]*\\n', '') AS t FROM ch), "
+    f"x AS (SELECT chunk_id, unnest(regexp_extract_all(t, '{_DOC_SQL}', 1)) AS c, unnest(regexp_extract_all(t, '{_DOC_SQL}', 2)) AS name FROM b) "
+    "SELECT chunk_id, name, trim(regexp_replace(c, '(?m)^[ \\t]*(?://+|#+)[ \\t]?', '', 'g'), chr(10)) AS docstring FROM x"
+)
+def docstrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions with the comment right above them."""
+    return detect.documented(one_chunk(spark, sf_dir), "chunk_id", "content")
+
+
+@query(
+    "WITH " + _CHUNK + ", s AS (SELECT chunk_id, unnest(regexp_extract_all(content, '\\bstruct\\s*\\{([^{}]*)\\}', 1)) AS b FROM ch), i AS (SELECT chunk_id, unnest(regexp_extract_all(content, '\\binterface\\s*\\{([^{}]*)\\}', 1)) AS b FROM ch), "
+    "f AS (SELECT chunk_id, unnest(regexp_extract_all(b, '(?m)^[ \\t]+([A-Za-z_][A-Za-z0-9_]*)[ \\t]+([*\\[\\]A-Za-z_][A-Za-z0-9_.*\\[\\]]*)', 1)) AS n, unnest(regexp_extract_all(b, '(?m)^[ \\t]+([A-Za-z_][A-Za-z0-9_]*)[ \\t]+([*\\[\\]A-Za-z_][A-Za-z0-9_.*\\[\\]]*)', 2)) AS t FROM s), "
+    "m AS (SELECT chunk_id, unnest(regexp_extract_all(b, '(?m)^[ \\t]+([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS n FROM i) "
+    "SELECT DISTINCT chunk_id, 'field:' || n AS key, t AS value FROM f UNION SELECT chunk_id, 'method:' || n, 'defined' FROM m"
+)
+def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields and methods of structs and interfaces."""
+    return detect.structure(one_chunk(spark, sf_dir), "chunk_id", "content")
+
+
+_WANTED = ", ".join(f"'{w}'" for w in sorted({w.lower() for w in SEARCH.split()}))
+
+
+@query(
+    _DOC_BM25 + ", t AS (SELECT id, score, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS ws FROM scored JOIN documents ON doc_id = id ORDER BY score DESC, id LIMIT 30), "
+    f"r AS (SELECT id, score, len(list_filter(ws, lambda w: w IN ({_WANTED}))) / {len(set(SEARCH.lower().split()))} AS o, max(score) OVER () AS ms FROM t), "
+    "z AS (SELECT *, max(o) OVER () AS mo FROM r) SELECT id AS doc_id, round(0.5 * score / ms + 0.5 * CASE WHEN mo > 0 THEN o / mo ELSE 0 END, 6) AS reranked FROM z ORDER BY reranked DESC, id LIMIT 10"
+)
+def rerank_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H7: a search's result through a pluggable re-ranker, here the overlap of words."""
+    docs = documents(spark, sf_dir)
+    best = lexical.top(lexical.bm25(docs, "doc_id", "text", SEARCH), "doc_id", 30).join(docs.select("doc_id", "text"), "doc_id")
+    return hooks.rerank(best, "doc_id", "text", "score", lambda text: word_overlap(SEARCH, text), 10).select("doc_id", "reranked")
+
+
+@query(
+    "SELECT doc_id, analyzer, finding FROM (SELECT doc_id, 'issue' AS analyzer, unnest(regexp_extract_all(text, '[A-Z]{2,}-\\d+')) AS finding FROM documents "
+    "UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9./_-]+')) FROM documents)"
+)
+def analyzer_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of pluggable analyzers."""
+    found = {
+        "issue": lambda t: F.regexp_extract_all(t, F.lit(r"([A-Z]{2,}-\d+)"), F.lit(1)),
+        "url": lambda t: F.regexp_extract_all(t, F.lit(r"(https?://[A-Za-z0-9./_-]+)"), F.lit(1)),
+    }
+    return hooks.analyze(documents(spark, sf_dir), ["doc_id"], found, "text")

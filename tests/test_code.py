@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import analysis, chunking, incremental, kpi
+from loomwork.operators import analysis, chunking, detect, hooks, incremental, kpi
 from loomwork.operators.records import delete_prefix, latest, replace_by_path, set_status, upsert
 from loomwork.sources.manifests import MANIFESTS, alias_table, joined_pieces, manifest_packages, strip_jsonc
 from loomwork.sources.tree import allowed, ignore_patterns, path_tree, scan_files
@@ -165,3 +165,27 @@ def test_kpis(spark):
     assert v.agg(kpi.nearest_rank("v", 0.95)).first()[0] == 10.0
     assert [r["n"] for r in kpi.histogram(v, "v", [1.0, 5.0]).orderBy("le").collect()] == [1, 5, 10]
     assert v.limit(0).agg(kpi.hit_rate(F.col("v") > 1)).first()[0] is None
+
+
+def test_chunk_attributes(spark):
+    go = "// Context: Store -> Open\n// Opens it\n// for reading.\nfunc (s *Store) Open() error {}\n\n// lost\n\nfunc main() {}\n"
+    ts = "export class Panel extends Base {\n  // draws\n  async function draw() {}\n}\ntype T struct {\n\tID int\n\tNames []string\n}\ntype R interface {\n\tRead(p []byte) int\n}\n"
+    df = spark.createDataFrame([("g", "a.go", go), ("t", "b.ts", ts), ("n", "c.py", None)], "id string, p string, t string")
+    got = {r["id"]: r["x"] for r in df.select("id", detect.parent_symbol(F.col("p"), F.col("t")).alias("x")).collect()}
+    assert got == {"g": "Store", "t": "Panel", "n": ""}
+    docs = {(r["id"], r["name"]): r["docstring"] for r in detect.documented(df, "id", "t").collect()}
+    assert docs == {("g", "Open"): "Opens it\nfor reading.", ("t", "draw"): "draws"}
+    parts = {(r["key"], r["value"]) for r in detect.structure(df, "id", "t").collect()}
+    assert parts == {("field:ID", "int"), ("field:Names", "[]string"), ("method:Read", "defined")}
+
+
+def test_hooks(spark):
+    df = spark.createDataFrame([(1, "code", "ab", 2.0), (2, "text", "abc", 1.0), (3, "text", None, 1.0)], "id int, kind string, t string, score double")
+    length = lambda t: F.array(F.length(t).cast("double"), F.lit(1.0))
+    zero = lambda t: F.array(F.lit(0.0), F.lit(0.0))
+    got = {r["id"]: r["embedding"] for r in hooks.embed(df, "t", {"default": length, "code": zero}, 2, F.col("kind")).collect()}
+    assert got == {1: [0.0, 0.0], 2: [3.0, 1.0], 3: None}
+    with pytest.raises(Exception):
+        hooks.embed(df, "t", {"default": length}, 3).collect()
+    best = hooks.rerank(df, "id", "t", "score", lambda t: F.length(t).cast("double"), 2).collect()
+    assert [(r["id"], r["reranked"]) for r in best] == [(1, 0.833333), (2, 0.75)]
