@@ -13,15 +13,16 @@ BUCKETS = 4096
 
 
 def water_fill(
-    sizes: Mapping[str, float], targets: Mapping[str, float], repeats: Mapping[str, int], total: float | None = None
+    sizes: Mapping[str, float], targets: Mapping[str, float], repeats: Mapping[str, int], total: float | None = None, exact: bool = False
 ) -> tuple[float, dict[str, float]]:
     """Total size of the mix and the size each source gives.
 
     Sources that would need more than ``repeats`` passes are clamped there and
     what they lack goes to the others in proportion to their targets, until
     nothing changes.  Without a ``total`` it is the size of all sources that
-    have both a target and content: as large as one pass over them.  Sources
-    without content or without a target give nothing.
+    have both a target and content: as large as one pass over them.  With
+    ``exact`` it is no larger than that at which every source still meets its
+    target.  Sources without content or without a target give nothing.
     """
     caps = {s: float(sizes.get(s) or 0) * max(0, int(repeats.get(s) or 0)) for s in targets}
     live = {s: float(w) for s, w in targets.items() if w and w > 0 and caps[s] > 0}
@@ -30,6 +31,8 @@ def water_fill(
     if total is None:
         total = sum(float(sizes[s]) for s in live)
     total = min(float(total), sum(caps[s] for s in live))
+    if exact:
+        total = min(total, min(caps[s] / w for s, w in live.items()) * sum(live.values()))
     give: dict[str, float] = {}
     open_, rest = dict(live), total
     while open_:
@@ -53,6 +56,7 @@ def mix_sources(
     size_col: str = "n_tokens",
     seed: int = 17,
     total: float | None = None,
+    exact: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``(mix, shares)``: how often each document is used, and what each source gives.
 
@@ -92,7 +96,7 @@ def mix_sources(
     for r in keyed.groupBy("_source", "_b").agg(F.sum("_size").alias("n")).collect():
         first[r["_source"]][int(r["_b"])] = int(r["n"])
     sizes = {s: sum(b.values()) for s, b in first.items()}
-    _, give = water_fill(sizes, {s: w for s, (w, _) in plan.items()}, {s: m for s, (_, m) in plan.items()}, total)
+    _, give = water_fill(sizes, {s: w for s, (w, _) in plan.items()}, {s: m for s, (_, m) in plan.items()}, total, exact)
 
     whole = {s: int(give.get(s, 0) / sizes[s] + 1e-12) if sizes[s] else 0 for s in plan}
     edge: dict[str, tuple[int, float]] = {}

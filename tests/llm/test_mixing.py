@@ -47,3 +47,9 @@ def test_empty(spark):
     assert mix.count() == 0 and [r["actual"] for r in shares.collect()] == [0]
     mix, shares = mix_sources(d, t.limit(0))
     assert mix.count() == 0 and shares.count() == 0
+
+
+def test_the_largest_mix_that_meets_all_targets():
+    sizes, targets, repeats = {"a": 100, "b": 10, "c": 1000}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 2, "b": 3, "c": 1}
+    total, give = water_fill(sizes, targets, repeats, exact=True)
+    assert abs(total - 100) < 1e-9 and all(abs(give[s] - targets[s] * total) < 1e-9 for s in targets)
