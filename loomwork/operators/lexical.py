@@ -134,11 +134,16 @@ def lexical_search(df: DataFrame, id_col: str, text_col: str, query: str, k: int
     return top(rows if keep is None else rows.where(keep), id_col, k)
 
 
-def keyword_search(df: DataFrame, id_col: str, text_col: str, keywords: list[str], k: int) -> DataFrame:
+#: Words that calls which register routes hold (fixed values).
+ROUTE_KEYWORDS = ["HandleFunc", "mux.Handle", "app.GET", "app.POST", "router.Register", "Route(", "@app.route", "FastAPI()"]
+
+
+def keyword_search(df: DataFrame, id_col: str, text_col: str, keywords: list[str], k: int, keep: DataFrame | None = None) -> DataFrame:
     """The k best documents of each keyword, each id once with its best score and the keywords it was found by.
 
     The texts are tokenized once for all keywords; the ranking keeps k rows per
-    keyword before its shuffle.
+    keyword before its shuffle.  ``keep`` (ids) limits what is ranked, never the
+    corpus whose statistics count.
     """
     cut = {w: query_terms(w) for w in keywords}
     distinct = list(dict.fromkeys(t for terms in cut.values() for t in terms))
@@ -147,6 +152,8 @@ def keyword_search(df: DataFrame, id_col: str, text_col: str, keywords: list[str
     places = {w: [distinct.index(t) for t in terms] for w, terms in cut.items() if terms}
     each = F.array(*[F.struct(F.lit(w).alias("keyword"), _score(at, K1, B).alias("score")) for w, at in places.items()])
     found = _counted(df, id_col, text_col, distinct).select(id_col, F.explode(each).alias("_e")).select(id_col, "_e.keyword", "_e.score").where("score > 0")
+    if keep is not None:
+        found = found.join(keep.select(id_col), id_col, "left_semi")
     w = W.partitionBy("keyword").orderBy(F.desc("score"), F.asc(id_col))
     best = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     return best.groupBy(id_col).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("keyword")).alias("keywords"))

@@ -162,13 +162,17 @@ def store_text(rows: DataFrame) -> DataFrame:
     return rows.select("rec_no", lexical.document_text(F.col("content"), meta(m, "name"), meta(m, "path"), meta(m, "symbols"), meta(m, "calls")).alias("text"))
 
 
-@query(
-    "WITH " + sql.RECORDS + ", docs AS (SELECT rec_no, array_to_string(list_filter(list_transform(list_concat([content, metadata['name'], metadata['path']], "
-    + "CASE WHEN starts_with(trim(coalesce(metadata['symbols'], '')), '[') AND json_valid(metadata['symbols']) AND json_array_length(metadata['symbols']) > 0 THEN from_json(metadata['symbols'], '[\"VARCHAR\"]') ELSE [metadata['symbols']] END, "
-    + "CASE WHEN starts_with(trim(coalesce(metadata['calls'], '')), '[') AND json_valid(metadata['calls']) AND json_array_length(metadata['calls']) > 0 THEN from_json(metadata['calls'], '[\"VARCHAR\"]') ELSE [metadata['calls']] END), "
-    + "lambda x: trim(coalesce(x, ''))), lambda x: x <> ''), ' ') AS text FROM rec WHERE coalesce(metadata['type'], '') NOT IN ('file_meta', 'project_status')), "
-    + sql.bm25("docs", "rec_no", "text", TERMS) + " SELECT id AS rec_no, score FROM scored"
-)
+def _listed(key: str) -> str:
+    return f"CASE WHEN starts_with(trim(coalesce(metadata['{key}'], '')), '[') AND json_valid(metadata['{key}']) AND json_array_length(metadata['{key}']) > 0 THEN from_json(metadata['{key}'], '[\"VARCHAR\"]') ELSE [metadata['{key}']] END"
+
+
+_STORE_DOCS = (
+    f"docs AS (SELECT rec_no, metadata, array_to_string(list_filter(list_transform(list_concat([content, metadata['name'], metadata['path']], {_listed('symbols')}, {_listed('calls')}), "
+    "lambda x: trim(coalesce(x, ''))), lambda x: x <> ''), ' ') AS text FROM rec WHERE coalesce(metadata['type'], '') NOT IN ('file_meta', 'project_status'))"
+)
+
+
+@query("WITH " + sql.RECORDS + ", " + _STORE_DOCS + ", " + sql.bm25("docs", "rec_no", "text", TERMS) + " SELECT id AS rec_no, score FROM scored")
 def bm25_store_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores over names, paths, symbols and calls as well as the content."""
     rows = records(spark, sf_dir).where(~meta(F.col("metadata"), "type").isin("file_meta", "project_status"))
@@ -251,3 +255,22 @@ def analyzer_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url": lambda t: F.regexp_extract_all(t, F.lit(r"(https?://[A-Za-z0-9./_-]+)"), F.lit(1)),
     }
     return hooks.analyze(documents(spark, sf_dir), ["doc_id"], found, "text")
+
+
+_ROUTE_TERMS = ", ".join(f"('{w}', '{t}', {lexical.query_terms(w).count(t)})" for w in lexical.ROUTE_KEYWORDS for t in dict.fromkeys(lexical.query_terms(w)))
+
+
+@query(
+    "WITH " + sql.RECORDS + ", " + _STORE_DOCS + ", " + sql.tokens("docs", "rec_no", "text") + ", per AS (SELECT id, count(*) AS dl FROM toks GROUP BY id), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM per), "
+    f"k(kw, term, w) AS (VALUES {_ROUTE_TERMS}), tf AS (SELECT id, term, count(*) AS tf FROM toks WHERE term IN (SELECT term FROM k) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), "
+    "s AS (SELECT id, kw, round(sum(w * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM tf JOIN df USING (term) JOIN k USING (term) JOIN per USING (id), stats GROUP BY 1, 2), "
+    "b AS (SELECT id, kw, score FROM s JOIN docs ON rec_no = id WHERE score > 0 AND metadata['category'] = 'code' QUALIFY row_number() OVER (PARTITION BY kw ORDER BY score DESC, id) <= 20) "
+    "SELECT coalesce(metadata['path'], '') AS path, coalesce(metadata['start_line'], '') AS start_line, max(score) AS score, max(rec_no) AS rec_no FROM b JOIN docs ON rec_no = id GROUP BY 1, 2"
+)
+def api_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code that the route keywords find in the store, once per path and line."""
+    m = F.col("metadata")
+    rows = records(spark, sf_dir).where(~meta(m, "type").isin("file_meta", "project_status"))
+    code = rows.where(meta(m, "category") == "code").select("rec_no", meta(m, "path").alias("path"), meta(m, "start_line").alias("start_line"))
+    found = lexical.keyword_search(store_text(rows), "rec_no", "text", lexical.ROUTE_KEYWORDS, 20, code)
+    return found.join(code, "rec_no").groupBy("path", "start_line").agg(F.max("score").alias("score"), F.max("rec_no").alias("rec_no"))
