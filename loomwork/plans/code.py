@@ -486,7 +486,12 @@ def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts)::DOUBLE / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
+    "b AS (SELECT user_id, event_id, n, t, 2::DOUBLE AS tokens, true AS allowed FROM e WHERE n = 1 UNION ALL "
+    "SELECT user_id, event_id, n, t, x - CASE WHEN x >= 1 THEN 1 ELSE 0 END, x >= 1 FROM (SELECT e.*, least(3::DOUBLE, b.tokens + greatest(0::DOUBLE, e.t - b.t) * (1::DOUBLE / 3600::DOUBLE)) AS x FROM b JOIN e ON e.user_id IS NOT DISTINCT FROM b.user_id AND e.n = b.n + 1)) "
+    "SELECT user_id, event_id, allowed FROM b"
+)
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rate limit per user as a stateful stream."""
     rows = stream.stream_events(spark, sf_dir).select("user_id", "event_id", "ts")

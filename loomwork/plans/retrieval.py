@@ -370,7 +370,10 @@ def truncate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", truncate_runes(F.col("text"), 1000).alias("text"))
 
 
-@query()
+@query(
+    "WITH " + sql.RECORDS + ", h AS (SELECT rec_no, list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(content, ''))), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, x: (xor(a, x) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM rec) "
+    "SELECT rec_no, h, list_transform(range(0, 8), lambda i: ((h + i * 31) % 4294967296 % 1000) / 1000.0::DOUBLE) AS v FROM h"
+)
 def embed_fnv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§2.13: a deterministic embedder as a column expression, 8 wide, from a hash of each text."""
     h = fnv32a(F.coalesce("content", F.lit("")))
