@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,22 +54,44 @@ def not_ignored(path: Column, patterns: list[tuple[bool, str]]) -> Column:
     return ~ignored
 
 
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there."""
+    return fs.FileSystem.from_uri(re.sub(r"^(?:file:)?/+", "file:///", uri))
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """rel_path, content, hash of the files under a root; the first of .vector-ignore and .gitignore applies."""
-    if not os.path.isdir(root):
+    """rel_path, content, hash of the files under a root; the first of .vector-ignore and .gitignore applies.
+
+    The tree is listed without contents, the paths are filtered, and only the
+    files that are left are read, by the tasks that hold their paths.  A file
+    that is gone by then gives no row; bytes that are no UTF-8 are replaced.
+    """
+    system, base = _opened(root)
+    if system.get_file_info(base).type != fs.FileType.Directory:
         raise FileNotFoundError(root)
     patterns: list[tuple[bool, str]] = []
     for name in (".vector-ignore", ".gitignore"):
-        if os.path.exists(os.path.join(root, name)):
-            with open(os.path.join(root, name), encoding="utf-8") as f:
-                patterns = ignore_patterns(f.read())
+        if system.get_file_info(f"{base}/{name}").type == fs.FileType.File:
+            with system.open_input_stream(f"{base}/{name}") as f:
+                patterns = ignore_patterns(f.read().decode("utf-8"))
             break
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = os.path.abspath(root).rstrip("/") + "/"
-    rel = F.regexp_extract(F.col("path"), r"^(?:file:)?/*(/.*)$", 1)
-    rel = F.substring(rel, len(base) + 1, 1 << 30)
-    rows = files.select(rel.alias("rel_path"), F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("hash"))
-    return rows.where(allowed(F.col("rel_path")) & not_ignored(F.col("rel_path"), patterns))
+    inside = base.rstrip("/") + "/"
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    rel = F.substring("path", F.instr("path", inside) + len(inside), F.length("path"))
+    kept = paths.withColumn("rel_path", rel).where(allowed(F.col("rel_path")) & not_ignored(F.col("rel_path"), patterns))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, rel_path in zip(batch.column("path").to_pylist(), batch.column("rel_path").to_pylist()):
+                at, path = _opened(uri)
+                try:
+                    with at.open_input_stream(path) as f:
+                        data = f.read()
+                except FileNotFoundError:
+                    continue
+                yield pa.RecordBatch.from_pydict({"rel_path": [rel_path], "content": [data.decode("utf-8", "replace")], "hash": [hashlib.sha256(data).hexdigest()]})
+
+    return kept.repartition(spark.sparkContext.defaultParallelism).mapInArrow(read, "rel_path string, content string, hash string")
 
 
 def path_tree(paths: DataFrame, path_col: str, keep: list[str], depth: int = 3) -> DataFrame:
