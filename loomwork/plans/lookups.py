@@ -12,7 +12,7 @@ from ..session import cut, scratch, table
 from . import sql
 from .catalogue import query
 from .code import _ANTI, _CHUNK, _DEFS, _LINES, _NAMES, _used, chunks, one_chunk
-from .retrieval import _DOC_BM25, SEARCH, TERMS, documents, records
+from .retrieval import _DOC_BM25, SEARCH, TERMS, documents, records, store_text
 
 _PATH = "metadata['path']"
 #: A path of the store, told by the data: the least one of any chunk.
@@ -156,20 +156,7 @@ def bm25_stored_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def store_text(rows: DataFrame) -> DataFrame:
-    """Records with what is indexed of them: content, name, path, symbols and calls."""
-    m = F.col("metadata")
-    return rows.select("rec_no", lexical.document_text(F.col("content"), meta(m, "name"), meta(m, "path"), meta(m, "symbols"), meta(m, "calls")).alias("text"))
-
-
-def _listed(key: str) -> str:
-    return f"CASE WHEN starts_with(trim(coalesce(metadata['{key}'], '')), '[') AND json_valid(metadata['{key}']) AND json_array_length(metadata['{key}']) > 0 THEN from_json(metadata['{key}'], '[\"VARCHAR\"]') ELSE [metadata['{key}']] END"
-
-
-_STORE_DOCS = (
-    f"docs AS (SELECT rec_no, metadata, array_to_string(list_filter(list_transform(list_concat([content, metadata['name'], metadata['path']], {_listed('symbols')}, {_listed('calls')}), "
-    "lambda x: trim(coalesce(x, ''))), lambda x: x <> ''), ' ') AS text FROM rec WHERE coalesce(metadata['type'], '') NOT IN ('file_meta', 'project_status'))"
-)
+_STORE_DOCS = f"docs AS (SELECT rec_no, metadata, {sql.STORE_TEXT} AS text FROM rec WHERE coalesce(metadata['type'], '') NOT IN ('file_meta', 'project_status'))"
 
 
 @query("WITH " + sql.RECORDS + ", " + _STORE_DOCS + ", " + sql.bm25("docs", "rec_no", "text", TERMS) + " SELECT id AS rec_no, score FROM scored")

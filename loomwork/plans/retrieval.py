@@ -31,6 +31,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).where(vector.usable(F.col("embedding"), DIM))
 
 
+def store_text(rows: DataFrame) -> DataFrame:
+    """Records with what is indexed of them: content, name, path, symbols and calls."""
+    m = F.col("metadata")
+    return rows.select("rec_no", lexical.document_text(F.col("content"), meta(m, "name"), meta(m, "path"), meta(m, "symbols"), meta(m, "calls")).alias("text"))
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The vector of the usable record with the smallest number."""
     return list(vectors(spark, sf_dir).orderBy("rec_no").select("embedding").first()[0])
@@ -110,16 +116,16 @@ def identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + sql.bm25(
-        "(SELECT rec_no, content FROM (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST, rec_no DESC NULLS LAST) = 1) "
+        f"(SELECT rec_no, {sql.STORE_TEXT} AS text FROM (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST, rec_no DESC NULLS LAST) = 1) "
         "WHERE coalesce(metadata['type'], '') NOT IN ('file_meta', 'project_status'))",
-        "rec_no", "content", TERMS,
+        "rec_no", "text", TERMS,
     )
     + " SELECT id AS rec_no, score FROM scored ORDER BY score DESC, id LIMIT 25"
 )
 def bm25_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L8 over the store without bookkeeping rows."""
     rows = records(spark, sf_dir).where(~meta(F.col("metadata"), "type").isin("file_meta", "project_status"))
-    return lexical.top(lexical.bm25(rows, "rec_no", "content", SEARCH), "rec_no", 25)
+    return lexical.top(lexical.bm25(store_text(rows), "rec_no", "text", SEARCH), "rec_no", 25)
 
 
 @query(
@@ -233,14 +239,14 @@ def _legs(spark: SparkSession, sf_dir: str, text: str, k: int) -> tuple[DataFram
     rows = records(spark, sf_dir).where(~meta(F.col("metadata"), "type").isin("file_meta", "project_status"))
     boost = fusion.number_or(meta(F.col("metadata"), "priority"))
     v = vector.search(rows, "rec_no", "embedding", query_vector(spark, sf_dir), 2 * k, DIM, boost)
-    return rows, v, lexical.top(lexical.bm25(rows, "rec_no", "content", text), "rec_no", 2 * k)
+    return rows, v, lexical.top(lexical.bm25(store_text(rows), "rec_no", "text", text), "rec_no", 2 * k)
 
 
 def _legs_sql(terms: list[str], k: int) -> str:
-    body = f"(SELECT * FROM ({sql.RECORDS.split(' AS ', 1)[1][1:-1]}) WHERE coalesce(metadata['type'], '') NOT IN ('file_meta', 'project_status'))"
+    body = f"(SELECT rec_no, {sql.STORE_TEXT} AS text FROM ({sql.RECORDS.split(' AS ', 1)[1][1:-1]}) WHERE coalesce(metadata['type'], '') NOT IN ('file_meta', 'project_status'))"
     return (
         f"WITH {sql.RECORDS}, {sql.VECTORS}, q AS NOT MATERIALIZED (SELECT v AS qv FROM vec ORDER BY rec_no LIMIT 1), "
-        + sql.bm25(body, "rec_no", "content", terms).replace("q(term, w)", "qt(term, w)").replace("JOIN q USING", "JOIN qt USING")
+        + sql.bm25(body, "rec_no", "text", terms).replace("q(term, w)", "qt(term, w)").replace("JOIN q USING", "JOIN qt USING")
         + f", vs AS (SELECT rec_no, round({sql.COSINE}, 6) AS similarity, {_PRIO} AS p FROM vec, q WHERE coalesce(metadata['type'], '') NOT IN ('file_meta', 'project_status')), "
         f"vb AS (SELECT rec_no, similarity, round(similarity * p, 6) AS boosted FROM vs ORDER BY similarity DESC, rec_no LIMIT {2 * k}), "
         "vr AS (SELECT rec_no, similarity, row_number() OVER (ORDER BY boosted DESC, rec_no) AS vec_rank FROM vb), "
@@ -290,11 +296,16 @@ def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top(hybrid(spark, sf_dir), "rec_no", 20).select("rec_no", "score")
 
 
-@query(_HYBRID + " SELECT rec_no, score FROM (SELECT * FROM h ORDER BY score DESC, rec_no LIMIT 40) WHERE contains(coalesce(metadata['path'], ''), 'core') ORDER BY score DESC, rec_no LIMIT 20")
+@query(
+    _HYBRID + r", b AS (SELECT *, list_filter(regexp_split_to_array(lower(content), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM (SELECT * FROM (SELECT * FROM h ORDER BY score DESC, rec_no LIMIT 40) "
+    "WHERE contains(coalesce(metadata['path'], ''), '.ts') ORDER BY score DESC, rec_no LIMIT 20)) "
+    "SELECT rec_no, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: x IN ('rebuild', 'snapshotindex', 'cluster', 'budget'))) / 4.0 ELSE score END, 6) AS rerank FROM b"
+)
 def hybrid_path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The path filter comes after the retrieval."""
+    """The path filter comes after the retrieval, and the re-ranking after the filter."""
     best = lexical.top(hybrid(spark, sf_dir), "rec_no", 40)
-    return lexical.top(best.where(F.contains(meta(F.col("metadata"), "path"), F.lit("core"))), "rec_no", 20).select("rec_no", "score")
+    kept = lexical.top(best.where(F.contains(meta(F.col("metadata"), "path"), F.lit(".ts"))), "rec_no", 20)
+    return fusion.overlap_rerank(kept, "rec_no", "content", SEARCH).select("rec_no", "rerank")
 
 
 @query(

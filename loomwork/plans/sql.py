@@ -42,3 +42,14 @@ RECORDS = "rec AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY
 USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
 VECTORS = f"vec AS (SELECT *, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM rec WHERE {USABLE})"
 COSINE = "list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv)))"
+
+
+def _listed(key: str) -> str:
+    return f"CASE WHEN starts_with(trim(coalesce(metadata['{key}'], '')), '[') AND json_valid(metadata['{key}']) AND json_array_length(metadata['{key}']) > 0 THEN from_json(metadata['{key}'], '[\"VARCHAR\"]') ELSE [metadata['{key}']] END"
+
+
+#: What is indexed of a record.
+STORE_TEXT = (
+    f"array_to_string(list_filter(list_transform(list_concat([content, metadata['name'], metadata['path']], {_listed('symbols')}, {_listed('calls')}), "
+    "lambda x: trim(coalesce(x, ''))), lambda x: x <> ''), ' ')"
+)
