@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -156,6 +156,13 @@ def bands(shingles: np.ndarray, rows: int = ROWS) -> list[int]:
     return keys.astype(np.int64).tolist()
 
 
+def parities(shingles: np.ndarray) -> list[int]:
+    """Whether an odd number of shingles falls into each of 256 parts, as four numbers of 64 bits: two sets differ
+    in at least as many shingles as bits."""
+    parts = (shingles.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.int64)
+    return np.packbits((np.bincount(parts, minlength=256) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
 def is_minified(text: str) -> bool:
     """Nearly all characters in long lines, and hardly a blank among them."""
     size = max(1, len(text))
@@ -165,7 +172,7 @@ def is_minified(text: str) -> bool:
 
 def describe_files(df: DataFrame, id_col: str, path_col: str, group_col: str, records_col: str, min_tokens: int, features: bool) -> DataFrame:
     """_id, _path, _group, _label (what path or content tell by themselves), _exact, _literal, _size,
-    _sid (stands for the masked shingles), _set, _bands, _plain, _copy (bands of the plain shingles)."""
+    _sid (stands for the masked shingles), _set, _bands, _odd (parities), _plain, _copy (bands of the plain shingles)."""
     path = F.coalesce(F.col(path_col), F.lit(""))
     by_path = (
         F.when(path.rlike(VENDOR_PATH) | path.rlike(VERSIONED_PATH), "vendored").when(path.rlike(MINIFIED_NAME), "minified").when(path.rlike(GENERATED_NAME), "generated")
@@ -195,19 +202,19 @@ def describe_files(df: DataFrame, id_col: str, path_col: str, group_col: str, re
                         label = "minified"
                 if s.n >= min_tokens and len(s.masked):
                     sid = int.from_bytes(hashlib.blake2b(s.masked.tobytes(), digest_size=8).digest(), "big", signed=True)
-                    out.append((label, s.exact, s.literal, s.size, sid, s.masked.astype(np.int32), bands(s.masked), s.plain.astype(np.int32), bands(s.plain, COPY_ROWS)))
+                    out.append((label, s.exact, s.literal, s.size, sid, s.masked.astype(np.int32), bands(s.masked), parities(s.masked), s.plain.astype(np.int32), bands(s.plain, COPY_ROWS)))
                 else:
-                    out.append((label, s.exact, s.literal, s.size, None, None, None, None, None))
-            columns = list(zip(*out)) or [()] * 9
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), ints, longs, ints, longs)
+                    out.append((label, s.exact, s.literal, s.size, None, None, None, None, None, None))
+            columns = list(zip(*out)) or [()] * 10
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), ints, longs, longs, ints, longs)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("_id", "_path", "_group")], *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                names=["_id", "_path", "_group", "_label", "_exact", "_literal", "_size", "_sid", "_set", "_bands", "_plain", "_copy"],
+                names=["_id", "_path", "_group", "_label", "_exact", "_literal", "_size", "_sid", "_set", "_bands", "_odd", "_plain", "_copy"],
             )
 
     return rows.mapInArrow(
         run, f"_id {kind}, _path string, _group string, _label string, _exact bigint, _literal bigint, _size bigint, _sid bigint, "
-        "_set array<int>, _bands array<bigint>, _plain array<int>, _copy array<bigint>"
+        "_set array<int>, _bands array<bigint>, _odd array<bigint>, _plain array<int>, _copy array<bigint>"
     )
 
 
@@ -229,6 +236,22 @@ def matches(asked: DataFrame, offered: DataFrame, left: DataFrame, right: DataFr
     return first.unionByName(near(asked.join(first, "_x", "left_anti"), offered))
 
 
+def candidates(posts: DataFrame, others: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs _x of ``posts``, _y of ``others`` (both _k, _sid, _w, _odd) on a band key that sizes and parities
+    don't rule out, with the number of parities that differ (_h)."""
+    a, b = posts.select("_k", F.col("_sid").alias("_x"), F.col("_w").alias("_wx"), F.col("_odd").alias("_ox")), others.select("_k", F.col("_sid").alias("_y"), F.col("_w").alias("_wy"), F.col("_odd").alias("_oy"))
+    differ = " + ".join(f"bit_count(_ox[{i}] ^ _oy[{i}])" for i in range(4))
+    possible = f"_x != _y AND least(_wx, _wy) >= greatest(_wx, _wy) * {similarity!r} - 1e-9 AND {differ} <= (_wx + _wy) * {(1 - similarity) / (1 + similarity)!r} + 1e-9"
+    return a.join(b, "_k").where(possible).selectExpr("_x", "_y", f"{differ} AS _h").distinct()
+
+
+def verified(pairs: DataFrame, shapes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (_x, _y) that share ``similarity`` of their shingles, and how much they share (_s)."""
+    both = pairs.join(shapes.select(F.col("_sid").alias("_y"), F.col("_set").alias("_sy")), "_y").join(shapes.select(F.col("_sid").alias("_x"), F.col("_set").alias("_sx")), "_x")
+    both = both.withColumn("_c", F.size(F.array_intersect("_sx", "_sy"))).withColumn("_u", F.size("_sx") + F.size("_sy") - F.col("_c"))
+    return both.where(F.col("_c") >= F.lit(similarity - 1e-12) * F.col("_u")).select("_x", "_y", (F.col("_c") / F.col("_u")).alias("_s"))
+
+
 def clusters(files: DataFrame, similarity: float, share: float) -> DataFrame:
     """_sid, _told: what the clusters of masked shingles tell of a set of them.
 
@@ -236,8 +259,11 @@ def clusters(files: DataFrame, similarity: float, share: float) -> DataFrame:
     core of a generated family.  The sets of at least two paths that are nearly
     all literals are data.  Sets with a told file are told.  A set that is not
     told itself is told if it reaches ``similarity`` to a told one and ``share``
-    of all that it meets in the bands are told; this share comes from counts by
-    band key, so that no cluster is squared.
+    of the paths of all sets to which it reaches ``similarity`` are told; at
+    ``share`` exactly, if its nearest set is told.  Every link to a told set is
+    verified.  Links to the others are verified for the sets with such a link,
+    those with the fewest differing parities first; where these outweigh the
+    told ones already, the rest can't change the result.
     """
     light = files.where(F.col("_sid").isNotNull()).select(
         "_sid", "_group", "_path", "_exact", F.col("_literal"), "_size", F.when(F.col("_label") != "vendored", F.col("_label")).alias("_own"), (F.col("_label") == "vendored").alias("_lib")
@@ -251,17 +277,27 @@ def clusters(files: DataFrame, similarity: float, share: float) -> DataFrame:
     sets = paths.groupBy("_sid").agg(F.count("*").alias("_n"), F.sum("_literal").alias("_literal"), F.sum("_size").alias("_size"), F.min("_own").alias("_own"))
     blob = F.when((F.col("_n") > 1) & (F.col("_literal") >= F.col("_size") * LITERALS), "data")
     told = cut(sets.join(cores, "_sid", "left").select("_sid", "_n", F.coalesce("_own", blob, "_core").alias("_told")))
-    shapes = cut(files.where(F.col("_sid").isNotNull()).groupBy("_sid").agg(F.first("_set").alias("_set"), F.first("_bands").alias("_bands")))
-    posts = shapes.select("_sid", F.explode("_bands").alias("_k")).join(told, "_sid")
-    counts = posts.groupBy("_k").agg(F.sum("_n").alias("_all"), F.sum(F.when(F.col("_told").isNotNull(), F.col("_n"))).alias("_known")).where("_known > 0")
-    met = posts.where("_told IS NULL").join(counts, "_k")
-    among = posts.where("_told IS NULL").join(counts, "_k", "left").groupBy("_sid").agg(F.sum(F.coalesce("_all", "_n") - F.col("_n")).alias("_all"), F.sum("_known").alias("_known"))
-    open_ = among.where(F.col("_known") >= F.col("_all") * share).select("_sid")
-    asked = cut(met.join(open_, "_sid", "left_semi").select("_k", F.col("_sid").alias("_x")))
-    kinds = posts.where("_told IS NOT NULL").select("_k", F.col("_sid").alias("_y"), "_told")
-    left, right = shapes.select(F.col("_sid").alias("_x"), F.col("_set").alias("_sx")), shapes.select(F.col("_sid").alias("_y"), F.col("_set").alias("_sy"))
-    votes = asked.join(kinds.groupBy("_k").agg(F.min("_told").alias("_told"), F.count("*").alias("_v")), "_k").groupBy("_x").agg(F.max_by("_told", F.struct("_v", "_told")).alias("_told"))
-    grown = matches(asked, kinds.select("_k", "_y"), left, right, similarity).join(votes, "_x").select(F.col("_x").alias("_sid"), "_told")
+    shapes = cut(files.where(F.col("_sid").isNotNull()).groupBy("_sid").agg(F.first("_set").alias("_set"), F.first("_bands").alias("_bands"), F.first("_odd").alias("_odd")))
+    posts = shapes.select("_sid", F.explode("_bands").alias("_k"), F.size("_set").alias("_w"), "_odd").join(told.select("_sid", F.col("_told").isNull().alias("_open")), "_sid")
+    weights = told.select(F.col("_sid").alias("_y"), "_n", "_told")
+    links = cut(verified(candidates(posts.where("_open"), posts.where("NOT _open"), similarity), shapes, similarity).join(weights, "_y"))
+    kinds = links.groupBy("_x", "_told").agg(F.sum("_n").alias("_v"), F.max("_s").alias("_near"))
+    votes = cut(kinds.groupBy("_x").agg(F.sum("_v").alias("_known"), F.max("_near").alias("_near"), F.max_by("_told", F.struct("_v", "_told")).alias("_told")))
+
+    def judged(asks: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``asks`` with the share of told paths: _over if at least ``share``, _at if exactly that and another set is as near."""
+        met = verified(pairs, shapes, similarity).join(weights.select("_y", "_n"), "_y").groupBy("_x").agg(F.sum("_n").alias("_others"), F.max("_s").alias("_other"))
+        wanted = (F.col("_known") + F.coalesce("_others", F.lit(0))) * F.lit(share)
+        tie = (F.col("_known") == wanted) & (F.col("_near") <= F.coalesce("_other", F.lit(0.0)))
+        return asks.join(met, "_x", "left").select(*asks.columns, (F.col("_known") >= wanted).alias("_over"), tie.alias("_at"))
+
+    # the other sets met, numbered from the likest on; the first of them decide for most
+    asked = posts.join(votes.select(F.col("_x").alias("_sid")), "_sid", "left_semi")
+    by_likeness = Window.partitionBy("_x").orderBy("_h", "_y")
+    met = cut(candidates(asked, posts.where("_open"), similarity).withColumn("_r", F.row_number().over(by_likeness)).select("_x", "_y", "_r"))
+    some = met.join(votes.select("_x", (F.col("_known") * F.lit(2 * (1 / max(share, 0.01) - 1)) + 8).alias("_to")), "_x").where("_r <= _to").select("_x", "_y")
+    left = cut(judged(votes, some).where("_over").drop("_over", "_at"))
+    grown = judged(left, met.join(left, "_x", "left_semi").select("_x", "_y")).where("_over AND NOT _at").select(F.col("_x").alias("_sid"), "_told")
     return told.where("_told IS NOT NULL").select("_sid", "_told").unionByName(grown)
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomwork.llm.handwritten import bands, file_content, header_comments, not_handwritten
+from loomwork.llm.handwritten import Shingles, bands, file_content, header_comments, not_handwritten, parities
 
 SCHEMA = "result_id bigint, project_id string, rel_path string, records array<struct<id:string,content:string>>, reason int, _label string"
 
@@ -110,3 +110,46 @@ def test_clusters_alone(spark):
     got = {r["result_id"]: (r["reason"], r["evidence"]) for r in not_handwritten(spark.createDataFrame(rows, SCHEMA), features=False).collect()}
     want = {i: ("generated", "family") for i in range(4)} | {i: ("data", "family") for i in (40, 41)} | {i: ("vendored", "family") for i in (50, 51)}
     assert {k: v for k, v in got.items() if k != 4} == want and got.get(4, want[0]) == want[0]
+
+
+KEYWORDS = "if for else return while break switch case func type match loop where".split()
+
+
+def test_links_among_unlike_sets_of_the_same_bands(spark):
+    rng = random.Random(6)
+    words = [rng.choice(KEYWORDS) for _ in range(320)]
+    rows = [one(0, "a/told.go", "// Code generated by protogen. DO NOT EDIT.\n\n" + " ".join(words[20:])), one(1, "a/near.go", " ".join(words[:300]))]
+    # 0.6 to both and to each other: they meet in the bands, but are no links
+    rows += [one(10 + i, f"b/h{i}.go", " ".join(words[20:245] + [rng.choice(KEYWORDS) for _ in range(70)])) for i in range(12)]
+    assert {r["result_id"] for r in not_handwritten(spark.createDataFrame(rows, SCHEMA)).collect()} == {0, 1}
+
+
+def test_links_by_brute_force(spark):
+    rng = random.Random(12)
+    rows, sets, told = [], [], []
+    for family in range(8):
+        words = [rng.choice(KEYWORDS) for _ in range(500)]
+        share, step, size = rng.choice([0.2, 0.5, 0.8]), rng.choice([3, 8, 15]), rng.choice([5, 12, 40])
+        for _ in range(size):
+            at = rng.randrange(12) * step
+            text = " ".join(words[at : at + 250] + rng.sample(KEYWORDS, 4))
+            told.append(rng.random() < share)
+            rows.append(one(len(rows), f"f{family}/{len(rows)}.go", ("// Code generated by protogen. DO NOT EDIT.\n" if told[-1] else "") + text))
+            sets.append(set(Shingles(text).masked.tolist()))
+    want = {i for i, t in enumerate(told) if t}
+    like = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+    assert len({frozenset(s) for s in sets}) == len(sets)
+    for i in range(len(sets)):
+        links = [(like[i][j], told[j]) for j in range(len(sets)) if j != i and like[i][j] >= 0.8]
+        known = [s for s, t in links if t]
+        if known and (len(known) * 2 > len(links) or len(known) * 2 == len(links) and max(known) > max(s for s, t in links if not t)):
+            want.add(i)
+    assert {r["result_id"] for r in not_handwritten(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for size, edit in ((100, 0), (100, 10), (400, 90), (3000, 700)):
+        a = np.unique(rng.integers(0, 1 << 31, size)).astype(np.uint32)
+        b = np.unique(np.r_[a[edit:], rng.integers(0, 1 << 31, edit)]).astype(np.uint32)
+        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(parities(a), parities(b))) <= len(np.setxor1d(a, b))
